@@ -48,5 +48,5 @@ def compare(spark, entry, folder: str) -> str | None:
     a, b = _table(got_names, got), _table(want_names, want)
     bad = [(x, y) for x, y in zip(a, b) if x != y]
     if bad:
-        return f"{len(bad)} of {len(a)} rows differ, columns {sorted(got_names)}: {bad[:2]}"
+        return f"{len(bad)} of {len(a)} rows differ, columns {sorted(got_names)}: {bad[:2]}"[:900]
     return "EMPTY" if not got else None
