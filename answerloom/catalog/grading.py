@@ -36,8 +36,8 @@ def _(t):
 
 @query("x6_normalize_answer", f"SELECT index, {_NORM_SQL} AS canonical FROM v_answers", _A)
 def _(t):
-    text = G.normalize_answer(G.final_candidate("generated_text"))
-    return V.v_answers(t).select("index", text.alias("canonical"))
+    staged = V.v_answers(t).withColumn("candidate", G.final_candidate("generated_text"))
+    return staged.select("index", G.normalize_answer("candidate").alias("canonical"))
 
 
 @query(

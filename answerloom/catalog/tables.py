@@ -126,7 +126,9 @@ def _(t):
 )
 def _(t):
     valid = (F.length("text") >= 200) & (F.col("lang") != "fr")
-    return t.documents.select(valid.alias("valid")).groupBy("valid").agg(F.count("*").alias("n"))
+    good, rejected = R.split_valid(t.documents, valid)
+    tagged = good.select(F.lit(True).alias("valid")).union(rejected.select(F.lit(False)))
+    return tagged.groupBy("valid").agg(F.count("*").alias("n"))
 
 
 @query(

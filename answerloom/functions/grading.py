@@ -112,14 +112,16 @@ def final_candidate(text: Column | str, fallback: str | None = "number_then_full
 
 
 def normalize_answer(text: Column | str) -> Column:
-    """Canonical text of an answer."""
-    out = strip(F.regexp_replace(F.coalesce(col_of(text), F.lit("")), r"<\|[^>]+?\|>", ""))
+    """Canonical text of an answer. Plain numbers skip the rewrites."""
+    raw = F.coalesce(col_of(text), F.lit(""))
+    out = strip(F.regexp_replace(raw, r"<\|[^>]+?\|>", ""))
     for pattern, replacement in ANSWER_REWRITES:
         out = F.regexp_replace(out, pattern, replacement)
     out = F.translate(out, SUPERSCRIPTS, SUPERSCRIPTS_PLAIN)
     for pattern, replacement in ANSWER_REWRITES_AFTER_SUPERSCRIPTS:
         out = F.regexp_replace(out, pattern, replacement)
-    return F.lower(strip(out))
+    plain = raw.rlike(r"^-?\d+(\.\d+)?\z")
+    return F.when(plain, raw).otherwise(F.lower(strip(out)))
 
 
 def answer_parts(text: Column | str) -> Column:
