@@ -69,21 +69,15 @@ def similarity(a: Column | str, b: Column | str) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(left, right) / longest)
 
 
-def chunk_starts(text: Column, size: int, overlap: int) -> Column:
+def text_chunks(text: Column | str, size: int = 1000, overlap: int = 100) -> Column:
+    """Overlapping pieces of a text, the last one short; empty text gives none.
+
+    One linear pass: each match moves on by ``size - overlap`` and looks ahead ``size``.
+    """
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than the chunk size")
-    length = F.length(text)
-    return F.when(length > 0, F.sequence(F.lit(0), length - 1, F.lit(size - overlap))).otherwise(
-        F.array().cast("array<int>")
-    )
-
-
-def text_chunks(text: Column | str, size: int = 1000, overlap: int = 100) -> Column:
-    """Overlapping pieces of a text, the last one short; empty text gives none."""
-    body = col_of(text)
-    return F.transform(
-        chunk_starts(body, size, overlap), lambda s: F.substring(body, s + 1, F.lit(size))
-    )
+    pattern = f"(?s)(?=(.{{1,{size}}})).{{1,{size - overlap}}}"
+    return F.regexp_extract_all(col_of(text), F.lit(pattern), F.lit(1))
 
 
 def token_count(text: Column | str) -> Column:
