@@ -35,5 +35,16 @@ def plain_number(text: Column) -> Column:
     return F.when(cell.rlike(NUMBER_CELL), F.trim(cell).try_cast("double"))
 
 
+def strict_json(text: Column) -> Column:
+    """The VARIANT of a text that is exactly one JSON value, else NULL.
+
+    The plain parser stops after the first value; inside brackets anything left over is an
+    error or a second element.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    single = F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1
+    return F.when(single, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def round6(value: Column) -> Column:
     return F.round(value, 6)

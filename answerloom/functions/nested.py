@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from answerloom.functions.common import col_of, let
+from answerloom.functions.common import col_of, let, strict_json
 
 # fixed values: keys that carry text, tried first, and keys that never do
 TEXT_KEYS = [
@@ -59,18 +59,23 @@ def variant_text(value: Column, depth: int = MAX_DEPTH) -> Column:
             return F.lit("")
 
         def gather(fields: Column) -> Column:
-            def pick(names: Column) -> Column:
-                texts = F.transform(
-                    names, lambda k: variant_text(F.try_element_at(fields, k), depth - 1)
-                )
-                return F.array_join(texts, "")
-
             named = F.filter(_keys(TEXT_KEYS), lambda k: F.map_contains_key(fields, k))
             others = F.filter(
                 F.map_keys(fields),
                 lambda k: ~F.array_contains(_keys(METADATA_KEYS + TEXT_KEYS), k),
             )
-            return F.coalesce(F.nullif(pick(named), F.lit("")), pick(others))
+            # One nested read for both kinds of keys keeps the expression small.
+            texts = F.transform(
+                F.concat(named, others),
+                lambda k: variant_text(F.try_element_at(fields, k), depth - 1),
+            )
+
+            def choose(t: Column) -> Column:
+                first = F.array_join(F.slice(t, F.lit(1), F.size(named)), "")
+                rest = F.slice(t, F.size(named) + 1, F.size(t))
+                return F.coalesce(F.nullif(first, F.lit("")), F.array_join(rest, ""))
+
+            return F.when(F.size(named) + F.size(others) > 0, let(texts, choose)).otherwise("")
 
         return let(F.try_variant_get(v, "$", "map<string,variant>"), gather)
 
@@ -120,4 +125,4 @@ def response_fields(raw: Column | str) -> Column:
             error.alias("error"),
         )
 
-    return let(F.try_parse_json(col_of(raw)), lambda v: let(fields(v), checked))
+    return let(strict_json(col_of(raw)), lambda v: let(fields(v), checked))
