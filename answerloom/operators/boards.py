@@ -93,7 +93,7 @@ def elo(
     schema = f"{arena} string, model string, rating double"
     slim = votes.select(F.col(arena).cast("string").alias(arena), "seq", "winner", "loser")
 
-    def fold(key, pdf: pd.DataFrame, known: pd.DataFrame | None = None) -> pd.DataFrame:
+    def fold(key: tuple, pdf: pd.DataFrame, known: pd.DataFrame | None = None) -> pd.DataFrame:
         before = {} if known is None else dict(zip(known["model"], known["rating"]))
         ordered = pdf.sort_values("seq", kind="stable")
         after = fold_votes(before, zip(ordered["winner"], ordered["loser"]), k, start)
@@ -120,7 +120,7 @@ def elo(
 
 
 def fit_bradley_terry(
-    winners: np.ndarray, losers: np.ndarray, wins: np.ndarray, n: int
+    winners: np.ndarray, losers: np.ndarray, wins: np.ndarray, n: int, steps: int = BT_STEPS
 ) -> np.ndarray:
     """Strengths of ``n`` models from pair counts; the last model is pinned to zero.
 
@@ -129,7 +129,7 @@ def fit_bradley_terry(
     theta, m, v = np.zeros(n), np.zeros(n), np.zeros(n)
     weight = wins / wins.sum()
     b1, b2, eps = ADAM
-    for t in range(1, BT_STEPS + 1):
+    for t in range(1, steps + 1):
         pull = weight / (1.0 + np.exp(theta[winners] - theta[losers]))
         grad = np.bincount(losers, pull, n) - np.bincount(winners, pull, n) + BT_DECAY * theta
         m = b1 * m + (1 - b1) * grad
@@ -149,6 +149,7 @@ def bradley_terry(
     votes: DataFrame,
     arena: str = "arena",
     max_pairs: int = MAX_PAIRS_PER_TASK,
+    steps: int = BT_STEPS,
 ) -> DataFrame:
     """Maximum-likelihood ratings per arena, centred on 1000.
 
@@ -157,22 +158,25 @@ def bradley_terry(
     """
     pairs = pair_wins(votes, arena).withColumn(arena, F.col(arena).cast("string"))
     if largest_group(pairs, [arena]) > max_pairs:
-        return _bradley_terry_distributed(pairs, arena)
+        return _bradley_terry_distributed(pairs, arena, steps)
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         names = np.unique(np.concatenate([pdf["winner"].to_numpy(str), pdf["loser"].to_numpy(str)]))
         theta = fit_bradley_terry(
             np.searchsorted(names, pdf["winner"].to_numpy(str)),
             np.searchsorted(names, pdf["loser"].to_numpy(str)),
             pdf["wins"].to_numpy(float),
             len(names),
+            steps,
         )
         return pd.DataFrame({arena: key[0], "model": names.astype(object), "rating": _to_ratings(theta)})
 
     return pairs.groupBy(arena).applyInPandas(fit, f"{arena} string, model string, rating double")
 
 
-def _bradley_terry_distributed(pairs: DataFrame, arena: str, checkpoint_every: int = 10) -> DataFrame:
+def _bradley_terry_distributed(
+    pairs: DataFrame, arena: str, steps: int, checkpoint_every: int = 10
+) -> DataFrame:
     """The same fit with the model table and the pair counts kept as Spark tables."""
     share = pairs.groupBy(arena).agg(F.sum("wins").alias("__total"))
     edges = reliable_checkpoint(
@@ -189,7 +193,7 @@ def _bradley_terry_distributed(pairs: DataFrame, arena: str, checkpoint_every: i
     )
     state = reliable_checkpoint(state)
     b1, b2, eps = ADAM
-    for t in range(1, BT_STEPS + 1):
+    for t in range(1, steps + 1):
         side = state.select(arena, "model", "theta")
         win = side.select(arena, F.col("model").alias("winner"), F.col("theta").alias("tw"))
         lose = side.select(arena, F.col("model").alias("loser"), F.col("theta").alias("tl"))
