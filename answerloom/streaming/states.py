@@ -42,10 +42,12 @@ class RatingProcessor(StatefulProcessor):
             self.ratings.updateValue((model,), (float(rating),))
         if len(fresh):
             self.last.update((int(fresh["seq"].max()),))
+        if not after:
+            return
         yield pd.DataFrame(
             {
-                "arena": key[0],
-                "model": list(after),
+                "arena": pd.Series([key[0]] * len(after), dtype=object),
+                "model": pd.Series(list(after), dtype=object),
                 "rating": [float(x) for x in after.values()],
                 "rejected": rejected,
             }
@@ -103,7 +105,11 @@ class MajorityProcessor(StatefulProcessor):
         self.seen.update((int(seen), bool(done)))
         if result is not None:
             yield pd.DataFrame(
-                {"item": [result[0]], "final_answer": [result[1]], "n_used": [result[2]]}
+                {
+                    "item": [result[0]],
+                    "final_answer": pd.Series([result[1]], dtype=object),
+                    "n_used": [result[2]],
+                }
             )
 
     def close(self) -> None:
