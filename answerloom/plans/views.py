@@ -101,7 +101,8 @@ def v_tokens(t) -> DataFrame:
     share = F.col("mass") / F.sum("mass").over(W.partitionBy("seq_id", "pos"))
     return sums.withColumn("p", share).select(
         "seq_id", "pos", "token_id",
-        (F.col("mass") / 10).alias("logit"), "p", F.log("p").alias("logp"),
+        (F.col("mass") / 10).alias("logit"), "p",
+        F.when(F.col("p") > 0, F.log("p")).otherwise(F.lit(float("-inf"))).alias("logp"),
         F.lit(5).cast("long").alias("prompt_len"),
     )
 
