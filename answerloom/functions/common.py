@@ -20,13 +20,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+# fixed values: the white space that trimming removes
+WHITE_SPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(text: Column) -> Column:
-    """Trim every kind of white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    """Trim every kind of white space at both ends; only the ends are looked at."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(strip(text.cast("string")), F.lit("")) == ""
+    """NULL, empty or white space only; stops at the first other character."""
+    return ~F.coalesce(text.cast("string").rlike(r"(?U)\S"), F.lit(False))
 
 
 def plain_number(text: Column) -> Column:

@@ -253,20 +253,24 @@ def verdict_of_parts(truth: Column, pred: Column) -> Column:
 def grade(df: DataFrame, pred: str, truth: str, out: str = "verdict") -> DataFrame:
     """Add the verdict of a prediction against the ground truth.
 
-    Normalised texts and parts are staged as columns, so every rewrite runs once a row.
-    Missing sides are wrong. Equal normal forms are decided without any arithmetic.
+    Normalised texts are staged as columns, so every rewrite runs once a row. Missing sides
+    are wrong. Equal normal forms and pairs of plain integers are decided without looking
+    at parts or doing arithmetic.
     """
     staged = df.withColumns(
         {"__pn": normalize_answer(F.col(pred)), "__tn": normalize_answer(F.col(truth))}
-    ).withColumns({"__pp": answer_parts(F.col("__pn")), "__tp": answer_parts(F.col("__tn"))})
-    missing = F.col(pred).isNull() | F.col(truth).isNull() | (F.size("__pp") == 0)
-    same = F.col("__pn") == F.col("__tn")
+    )
+    p, t = F.col("__pn"), F.col("__tn")
+    missing = F.col(pred).isNull() | F.col(truth).isNull() | (p == "") | (t == "")
+    whole = r"^-?(0|[1-9]\d*)\z"
+    parts = F.struct(answer_parts(t).alias("t"), answer_parts(p).alias("p"))
     result = (
         F.when(missing, "wrong")
-        .when(same, "correct")
-        .otherwise(verdict_of_parts(F.col("__tp"), F.col("__pp")))
+        .when(p == t, "correct")
+        .when(p.rlike(whole) & t.rlike(whole), "wrong")
+        .otherwise(let(parts, lambda s: verdict_of_parts(s["t"], s["p"])))
     )
-    return staged.withColumn(out, result).drop("__pn", "__tn", "__pp", "__tp")
+    return staged.withColumn(out, result).drop("__pn", "__tn")
 
 
 def heuristic_score(

@@ -28,11 +28,21 @@ DOMAIN_KEYWORDS: list[tuple[str, list[str]]] = [
 
 
 def parse_numeric(value: Column | str) -> Column:
-    """The number inside a noisy cell (``$50,994`` -> 50994.0), NULL when there is none."""
-    no_codes = F.regexp_replace(strip(col_of(value).cast("string")), CURRENCY, "")
-    digits = F.regexp_replace(no_codes, r"[^\d.\-]", "")
+    """The number inside a noisy cell (``$50,994`` -> 50994.0), NULL when there is none.
+
+    The column type is known when the plan is made: numeric columns skip the parsing, and
+    plain numbers in text columns skip the rewrites.
+    """
+    cell = col_of(value)
+    kind = F.typeof(cell)
+    numeric = kind.isin("tinyint", "smallint", "int", "bigint", "float", "double") | kind.startswith(
+        "decimal"
+    )
+    raw = cell.cast("string")
+    digits = F.regexp_replace(F.regexp_replace(raw, CURRENCY, ""), r"[^\d.\-]", "")
     valid = digits.rlike(r"^-?(\d+(\.\d*)?|\.\d+)$")
-    return F.when(valid, digits.try_cast("double"))
+    plain = raw.rlike(r"^-?\d+(\.\d+)?\z")
+    return F.when(numeric | plain, raw.try_cast("double")).when(valid, digits.try_cast("double"))
 
 
 def end_date(start: Column | str, nights: Column | str) -> Column:
