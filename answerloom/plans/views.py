@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from answerloom.plans.skew import group_positions
+
 # fixed values: the five event types in sorted order
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 # fixed values: search terms of the lookup checks
@@ -19,12 +21,9 @@ HEADERS = [
 
 
 def _numbered_lines(t) -> DataFrame:
-    order = W.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
-    )
-    return t.lineitem.withColumn("lk", (F.row_number().over(order) - 1).cast("long")).withColumn(
-        "q", F.col("l_quantity").cast("long")
-    )
+    order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
+    numbered = group_positions(t.lineitem, ["l_orderkey"], order, "lk")
+    return numbered.withColumn("q", F.col("l_quantity").cast("long"))
 
 
 _LINES_SQL = """

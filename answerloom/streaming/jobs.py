@@ -14,7 +14,7 @@ def write_batches(
     stream: DataFrame,
     path: str,
     checkpoint: str,
-    prepare: Callable[[DataFrame], DataFrame] | None = None,
+    prepare: Callable[[DataFrame, int], DataFrame] | None = None,
     output_mode: str = "append",
     trigger: dict | None = None,
 ):
@@ -25,7 +25,7 @@ def write_batches(
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        rows = prepare(batch) if prepare else batch
+        rows = prepare(batch, batch_id) if prepare else batch
         (
             rows.withColumn("batch_id", F.lit(batch_id))
             .write.mode("overwrite")
@@ -48,11 +48,13 @@ def chunk_stream(
     compared with the earlier batches only, so a repeated batch gives the same rows.
     """
 
-    def prepare(batch: DataFrame) -> DataFrame:
+    def prepare(batch: DataFrame, batch_id: int) -> DataFrame:
         spark = batch.sparkSession
         marked = batch.withColumn("content", F.xxhash64(text)).dropDuplicates([file, "content"])
         if _exists(spark, path):
-            done = spark.read.parquet(path).select(file, "content").distinct()
+            # The first chunk stands for its file; later batches are pruned by partition.
+            earlier = (F.col("batch_id") < batch_id) & (F.col("pos") == 0)
+            done = spark.read.parquet(path).where(earlier).select(file, "content")
             marked = marked.join(done, [file, "content"], "left_anti")
         pieces = F.posexplode(text_chunks(text, size, overlap)).alias("pos", "chunk")
         return marked.select(file, "content", pieces)
