@@ -217,9 +217,12 @@ def context(hits: DataFrame, payload: DataFrame, key: str, query_id: str, text:
 
 
 def add_vectors(existing: DataFrame | None, incoming: DataFrame, vector: str = "embedding") -> DataFrame:
-    """V2: rows that are new by content; ids are a hash of the vector and the payload."""
+    """V2: rows that are new by content; ids are a digest of the vector and the payload.
+
+    A 256-bit digest keeps different rows apart at any table size.
+    """
     named = [c for c in incoming.columns if c != "content_id"]
-    content = F.xxhash64(F.to_json(F.struct(*named)))
+    content = F.sha2(F.to_json(F.struct(*named)), 256)
     fresh = incoming.withColumn("content_id", content).dropDuplicates(["content_id"])
     if existing is None:
         return fresh

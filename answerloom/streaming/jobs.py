@@ -50,7 +50,7 @@ def chunk_stream(
 
     def prepare(batch: DataFrame, batch_id: int) -> DataFrame:
         spark = batch.sparkSession
-        marked = batch.withColumn("content", F.xxhash64(text)).dropDuplicates([file, "content"])
+        marked = batch.withColumn("content", F.sha2(text, 256)).dropDuplicates([file, "content"])
         if _exists(spark, path):
             # The first chunk stands for its file; later batches are pruned by partition.
             earlier = (F.col("batch_id") < batch_id) & (F.col("pos") == 0)
