@@ -21,14 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerloom.llm.common import id_and_text, slices
 
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 2 << 20
 #: Words remembered by one worker; the memory is emptied when it is full.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 250_000
 _GAP, _DEAD = -1, -2
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -241,7 +242,7 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_
                 part = batch.slice(at, 1000)
                 lists = part.column("ids")
                 flat, ends = lists.flatten().to_numpy(zero_copy_only=False), [0]
-                for n in pa.compute.list_value_length(lists).to_pylist():
+                for n in pc.list_value_length(lists).to_pylist():
                     ends.append(ends[-1] + (n or 0))
                 texts = [merges.decode(flat[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def share(key: Column, rows: int, wanted: int) -> Column:
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``most`` bytes in each part, one row at least."""
     for batch in batches:
-        sizes = [n or 0 for n in pa.compute.binary_length(batch.column(column)).to_pylist()]
+        sizes = [n or 0 for n in pc.binary_length(batch.column(column)).to_pylist()]
         start = held = 0
         for i, size in enumerate(sizes):
             if i > start and held + size > most:
