@@ -8,8 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.llm import bpe, decontaminate, quality, secrets, simhash
+from answerloom.llm import (
+    bpe, decontaminate, embeddings, language, quality, secrets, sharding, simhash, substrings,
+    token_store,
+)
 from answerloom.llm.common import held_out, table
+from answerloom.session import scratch_path
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -42,6 +46,37 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = substrings.remove_repeated_windows(table(spark, folder, "documents"))
+    length = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["first"])
+    return cut.select(
+        "doc_id", "n_words", length.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+SHARDS = 24
+
+
+def op4_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(
+        "doc_id", "lang", "source",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+    )
+    cells = [
+        sharding.category_cell(F.col("lang")),
+        sharding.category_cell(F.col("source")),
+        sharding.magnitude_cell(F.col("size")),
+    ]
+    cut = sharding.cut_runs(rows, cells, [F.col("doc_id"), F.col("text_crc32")], SHARDS)
+    return cut.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, folder, "documents"))
     return groups.select(
@@ -55,6 +90,31 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(table(spark, folder, "embeddings"))
+
+
+END_ID = 2
+
+
+def op8_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_store.write_tokens(
+        table(spark, folder, "documents"), path, tokenizer_file("byte_bpe_50k.tiktoken"),
+        special=(("<|endoftext|>", 50256),), end_id=END_ID,
+    )
+    read = token_store.read_documents(spark, path)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held = held_out(F.col("doc_id"))
+    model = language.fit_language(docs.where(~held), tokenizer_file("piece_bpe_32k.model"))
+    found = language.identify(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = tokenizer_file("word_bpe_49k.json")
     encoded = bpe.encode_documents(table(spark, folder, "documents"), path)
@@ -69,8 +129,13 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality": op2_quality,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_hilbert_shards": op4_hilbert_shards,
     "op5_simhash": op5_simhash,
     "op6_decontamination": op6_decontamination,
+    "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_token_store": op8_token_store,
+    "op9_language_id": op9_language_id,
     "op10_bpe": op10_bpe,
 }
 
