@@ -205,6 +205,11 @@ def encoder(path: str) -> PairIndexEncoder:
     return PairIndexEncoder(path)
 
 
+def _id_lists(coded: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), dtype="<i4")))
+
+
 def encode_documents(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -220,16 +225,37 @@ def encode_documents(
         merges = encoder(path)
         for batch in slices(batches, "text", BATCH_BYTES):
             coded = merges.encode(batch.column("text").cast(pa.binary()).to_pylist())
-            ends = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
-            ids = pa.array(np.frombuffer(b"".join(coded), dtype="<i4"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), ids)],
-                ["doc_id", "ids"],
+                [batch.column("doc_id"), _id_lists(coded)], ["doc_id", "ids"]
             )
 
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
+def round_trip_documents(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, ids, decoded) for every row: what the ids of a text decode to.
+
+    The same as decoding the result of ``encode_documents``, in one worker instead of two.
+    """
+    rows = id_and_text(docs, id_col, text_col)
+    kind = dict(rows.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges = encoder(path)
+        for batch in slices(batches, "text", BATCH_BYTES):
+            coded = merges.encode(batch.column("text").cast(pa.binary()).to_pylist())
+            lists = _id_lists(coded)
+            texts = [merges.decode(np.frombuffer(c, dtype="<i4")) for c in coded]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), lists, pa.array(texts, pa.string())],
+                ["doc_id", "ids", "decoded"],
+            )
+
+    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+
+
 def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, ids, decoded) for every row of ids; null ids decode to the empty text."""
     rows = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))

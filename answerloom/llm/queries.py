@@ -117,8 +117,8 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = tokenizer_file("word_bpe_49k.json")
-    encoded = bpe.encode_documents(table(spark, folder, "documents"), path)
-    return bpe.decode_documents(encoded, path).select(
+    coded = bpe.round_trip_documents(table(spark, folder, "documents"), path)
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
