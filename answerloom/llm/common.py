@@ -15,6 +15,21 @@ from answerloom.session import scratch_path
 FOLDS = 5
 
 
+#: What one batch to a Python worker may hold. Buffers on both sides grow with it, outside
+#: the heap that Spark manages.
+BATCH_ROWS = 1000
+WORKER_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to the sizes above (lower settings stay)."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", WORKER_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -31,6 +46,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns ``doc_id`` and ``text``; whatever else the table has is pruned here."""
+    bounded_batches(df.sparkSession)
     return df.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")
     )

@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerloom.llm.common import fresh, id_and_text
+from answerloom.llm.common import bounded_batches, fresh, id_and_text
 
 Q = 8
 #: Share of an item's length that may differ.
 MAX_EDITS = 0.08
 #: A benchmark of more characters is refused; it goes in parts of this size.
 MAX_ITEM_CHARS = 20_000_000
-CHUNK_CHARS = 2 << 20
+CHUNK_CHARS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
 _BREAK = 0x110000  # no character: q-grams across it match nothing
@@ -275,6 +275,7 @@ def drop_contaminated(
     item_text: str = "text",
 ) -> DataFrame:
     """``docs`` without the rows that hold a benchmark passage; columns stay as they are."""
+    bounded_batches(docs.sparkSession)
     items = collect_items(benchmark, item_col, item_text)
 
     @F.pandas_udf("int")

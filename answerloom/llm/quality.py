@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from answerloom.llm.common import fresh, share
+from answerloom.llm.common import bounded_batches, fresh, share
 
 #: Bounds of the fit. About so many labelled texts a class feed a dictionary, each with one
 #: piece of so many bytes; about so many labelled rows calibrate the score.
@@ -122,6 +122,7 @@ def fit_quality(
     dictionaries; about ``calibration_rows`` rows fit the curve. Without both labels the
     model has no curve and every score is 0.5.
     """
+    bounded_batches(labelled.sparkSession)
     rows = labelled.select(
         F.col(text).alias("text"), F.col(label).cast("int").alias("label"),
         F.xxhash64(text, key).alias("mark"),
@@ -184,6 +185,7 @@ def score_quality(
     """
     if fresh(docs, name) != name:
         raise ValueError(f"the table has a column {name} already")
+    bounded_batches(docs.sparkSession)
     return docs.withColumn(name, _score_udf(model)(F.col(text)))
 
 

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerloom.llm.common import fresh
+from answerloom.llm.common import bounded_batches, fresh
 
 KINDS = ("assign", "access", "hex", "novel")
 MIN_ASSIGNED = 12
@@ -174,12 +174,14 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``spans`` lists ``kind:start:end`` by start, then kind. A null text counts as empty and
     has no spans. Texts are never cut; no row meets another one, so nothing is shuffled.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.pandas_udf(_report, _REPORT)(text_col).alias("r"))
     return rows.select("doc_id", "r.*")
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per secret: doc_id, kind, start, end, found (the string itself)."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.pandas_udf(_found, _FOUND)(text_col)).alias("s"))
     return rows.select("doc_id", "s.*")
 
@@ -190,6 +192,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
     Overlapping spans become one replacement. ``length_col`` is set to the new length where
     the table has such a column and the text has one. Null texts stay null.
     """
+    bounded_batches(docs.sparkSession)
     new = fresh(docs, "redacted")
     out = docs.withColumn(new, F.pandas_udf(_redacted, "string")(text_col))
     columns = []
