@@ -39,7 +39,7 @@ def _(t):
 
 
 _WORDS_SQL = r"""terms AS (SELECT DISTINCT lower(w) AS term FROM (
-  SELECT unnest(regexp_extract_all(text, '[\p{L}]{6,}')) AS w FROM benchmark))"""
+  SELECT unnest(regexp_extract_all(text, '[\p{L}]+')) AS w FROM benchmark))"""
 
 
 @query(
@@ -47,13 +47,14 @@ _WORDS_SQL = r"""terms AS (SELECT DISTINCT lower(w) AS term FROM (
     f"WITH {_WORDS_SQL} SELECT doc_id, term FROM documents, terms WHERE contains(lower(text), term)",
 )
 def _(t):
-    word = F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]{6,}"), F.lit(0))).alias("term")
+    word = F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0))).alias("term")
     return O.joined_terms_in_text(t.documents, "doc_id", "text", t.benchmark.select(word), "term")
 
 
 @query(
     "f9_extract_keywords",
-    r"""WITH terms AS (SELECT DISTINCT lower(regexp_extract(text, '[\p{L}]+')) AS term FROM benchmark),
+    r"""WITH terms AS (SELECT DISTINCT lower(trim(v)) AS term FROM (SELECT unnest(string_split(text, chr(10))) AS v
+          FROM benchmark) WHERE trim(v) <> ''),
         hits AS (SELECT doc_id, term AS keyword FROM documents, terms WHERE contains(lower(text), term)),
         w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS a
           FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hits))
@@ -61,8 +62,8 @@ def _(t):
         SELECT doc_id, array_to_string(list_slice(a, greatest(1, len(a) - 2), len(a)), ' ') FROM w""",
 )
 def _(t):
-    first = F.regexp_extract("text", r"[\p{L}]+", 0).alias("value")
-    return O.extract_keywords(t.documents, "doc_id", "text", t.benchmark.select(first), "value")
+    values = t.benchmark.select(F.explode(F.split("text", "\n")).alias("value"))
+    return O.extract_keywords(t.documents, "doc_id", "text", values, "value")
 
 
 def _dictionary_sql() -> str:
@@ -77,7 +78,9 @@ def _dictionary_sql() -> str:
 @query(
     "j5_resolve_headers",
     f"""WITH {_dictionary_sql()}, h AS (SELECT conv_id AS file, role AS header, min(turn) AS pos,
-          replace(lower(role), ' ', '') AS name FROM conversations GROUP BY conv_id, role),
+          replace(lower(role), ' ', '') AS name FROM (SELECT p_partkey AS conv_id, i AS turn,
+            string_split(p_name, ' ')[i] AS role FROM (SELECT *, unnest(range(1, 1 + len(string_split(p_name, ' '))))
+            AS i FROM part) UNION ALL SELECT conv_id, turn + 100, role FROM conversations) GROUP BY conv_id, role),
         s AS (SELECT file, target, header, pos, bool_or(contains(name, word)) AS contained,
           max(1 - levenshtein(name, word) / greatest(length(name), length(word))) AS score
           FROM h, syn GROUP BY ALL)
@@ -86,7 +89,10 @@ def _dictionary_sql() -> str:
           AND (contained OR score >= 0.6)""",
 )
 def _(t):
-    headers = t.conversations.groupBy(F.col("conv_id").alias("file"), F.col("role").alias("header"))
+    words = t.part.select(F.col("p_partkey").alias("conv_id"), F.posexplode(F.split("p_name", " ")))
+    words = words.select("conv_id", (F.col("pos") + 1).alias("turn"), F.col("col").alias("role"))
+    roles = t.conversations.select("conv_id", F.col("turn") + 100, "role")
+    headers = words.unionAll(roles).groupBy(F.col("conv_id").alias("file"), F.col("role").alias("header"))
     return O.resolve_headers(headers.agg(F.min("turn").alias("pos")))
 
 

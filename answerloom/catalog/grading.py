@@ -21,7 +21,7 @@ _CAND_SQL = r"""CASE lk % 6 WHEN 1 THEN '\frac{' || 2*q || '}{2}' WHEN 3 THEN ''
   WHEN 4 THEN 'no result' WHEN 5 THEN '{' || q || '}' ELSE '' || q END"""
 _NORM_SQL = """CASE lk % 6 WHEN 1 THEN '(' || 2*q || ')/(2)' WHEN 3 THEN '' || (q+1)
   WHEN 4 THEN 'no result' ELSE '' || q END"""
-_VERDICT_SQL = "CASE lk % 6 WHEN 3 THEN 'wrong' WHEN 4 THEN 'needs_cas' ELSE 'correct' END"
+_VERDICT_SQL = "CASE WHEN lk % 6 IN (3, 4) THEN 'wrong' ELSE 'correct' END"
 
 
 @query("x4_last_boxed", f"SELECT index, {_BOX_SQL} AS boxed FROM v_answers", _A)
@@ -53,9 +53,34 @@ def _(t):
     )
 
 
-@query("x8_grade", f"SELECT index, {_VERDICT_SQL} AS verdict FROM v_answers", _A)
+# fixed values: pairs of truth and answer with their verdict
+GOLDEN = [
+    ("3/4", r"\frac{3}{4}", "correct"), ("(3)/(4)", "3/4", "correct"),
+    ("1/2", "0.5", "correct"), ("14/3", "15/3", "wrong"), ("(14/3, 2/3)", "(14/3, 4/6)", "correct"),
+    ("(1, 2, 3)", "(1, 2)", "wrong"), ("[1, 2]", "[2, 1]", "wrong"), ("2", "3", "wrong"),
+    ("34", "3 4", "wrong"), ("12", "3 4", "correct"), ("123", "1 2 3", "wrong"),
+    ("0", "-0", "correct"), ("6", "2(3)", "correct"), ("12", "(3)(4)", "correct"),
+    ("1024", "2^{10}", "correct"), ("9", "3^2", "correct"), ("8", "3^2", "wrong"),
+    ("3.5", "3 1/2", "correct"), ("1234", "1,234", "correct"), ("50", r"50\%", "correct"),
+    ("7", "no result", "wrong"), ("x", "5", "wrong"), ("5", "", "wrong"),
+    (r"\sqrt{2}", "1.41", "needs_cas"), ("x+1", "1+x", "needs_cas"), ("-3", "3", "wrong"),
+]
+_GOLDEN_SQL = ", ".join(
+    "('golden " + str(i) + "', '" + verdict + "')" for i, (_, _, verdict) in enumerate(GOLDEN)
+)
+
+
+@query(
+    "x8_grade",
+    f"""SELECT index, {_VERDICT_SQL} AS verdict FROM v_answers
+        UNION ALL SELECT * FROM (VALUES {_GOLDEN_SQL}) v(index, verdict)""",
+    _A,
+)
 def _(t):
-    return E.graded(V.v_answers(t), "generated_text", "gtruth_answer").select("index", "verdict")
+    rows = E.graded(V.v_answers(t), "generated_text", "gtruth_answer").select("index", "verdict")
+    pairs = [(f"golden {i}", truth, answer) for i, (truth, answer, _) in enumerate(GOLDEN)]
+    golden = t.spark.createDataFrame(pairs, "index string, truth string, answer string")
+    return rows.unionByName(G.grade(golden, "answer", "truth").select("index", "verdict"))
 
 
 @query(
@@ -78,9 +103,9 @@ def _(t):
 
 @query(
     "x11_partial_reward",
-    """SELECT index, CASE lk % 6 WHEN 2 THEN 0.5 WHEN 3 THEN 0.0 WHEN 4 THEN NULL ELSE 1.0 END::DOUBLE
+    """SELECT index, CASE lk % 6 WHEN 2 THEN 0.5 WHEN 3 THEN 0.0 WHEN 4 THEN 0.0 ELSE 1.0 END::DOUBLE
          AS partial_reward,
-       CASE lk % 6 WHEN 2 THEN 1.0 WHEN 3 THEN 0.1 WHEN 4 THEN NULL ELSE 1.1 END::DOUBLE
+       CASE lk % 6 WHEN 2 THEN 1.0 WHEN 3 THEN 0.1 WHEN 4 THEN 0.0 ELSE 1.1 END::DOUBLE
          AS format_bonus_reward FROM v_answers""",
     _A,
 )
@@ -102,8 +127,8 @@ def _(t):
 def _sql_text(name: str) -> str:
     text = P.PROMPTS[name].replace("'", "''")
     for placeholder, expr in {
-        "{prompt}": "text", "{draft}": "substr(text, 1, 40)", "{critique}": "'item ' || item_id",
-        "{reference}": "'' || item_id", "{answer}": "substr(text, 1, 20)",
+        "{prompt}": "text", "{draft}": "text", "{critique}": "'item ' || item_id",
+        "{reference}": "'' || item_id", "{answer}": "reverse(text)",
         "{option_a}": "'' || item_id", "{option_b}": "'' || (item_id + 1)",
         "{option_c}": "'' || (item_id + 2)", "{option_d}": "'' || (item_id + 3)",
     }.items():
@@ -118,14 +143,38 @@ def _sql_text(name: str) -> str:
 def _(t):
     item = F.col("item_id")
     columns = {
-        "prompt": "text", "draft": F.substring("text", 1, 40),
+        "prompt": "text", "draft": "text",
         "critique": F.concat(F.lit("item "), item.cast("string")), "reference": item,
-        "answer": F.substring("text", 1, 20), "option_a": item, "option_b": item + 1,
+        "answer": F.reverse("text"), "option_a": item, "option_b": item + 1,
         "option_c": item + 2, "option_d": item + 3,
     }
     return t.benchmark.select("item_id", *[P.prompt(n, **columns).alias(n) for n in P.PROMPTS])
 
 
+@query(
+    "udf5_renderer",
+    "SELECT doc_id, 'Text of ' || source || ':' || chr(10) || text || chr(10) || '{left}' AS prompt FROM documents",
+)
+def _(t):
+    filled = P.render("Text of {source}:\n{text}\n{left}", source="source", text="text")
+    return t.documents.select("doc_id", filled.alias("prompt"))
+
+
+@query(
+    "x12_tag_order_ids",
+    """SELECT doc_id, CASE WHEN length(text) % 3 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS r FROM documents""",
+)
+def _(t):
+    kind = F.length("text") % 3
+    # Tags before the prompt's end do not count; in the second kind they are swapped.
+    ids = (
+        F.when(kind == 0, F.array(*[F.lit(i) for i in (151668, 5, 151667, 6, 151668)]))
+        .when(kind == 1, F.array(*[F.lit(i) for i in (151667, 5, 151668, 6, 151667)]))
+        .otherwise(F.array(*[F.lit(i) for i in (151667, 151668, 7)]))
+    )
+    return t.documents.select("doc_id", P.tag_order_reward_ids(ids, F.lit(2)).alias("r"))
+
+
 _PAIRS_SQL = """SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS reply FROM conversations u
   JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant'"""
@@ -194,10 +243,12 @@ def _(t):
 
 @query(
     "x32_answer_class",
-    """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'base_subscript' WHEN 2 THEN
+    """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'text' WHEN 1 THEN
+         CASE WHEN regexp_matches('' || p_partkey, '[89]') THEN 'plain' ELSE 'base_subscript' END WHEN 2 THEN
          'currency' WHEN 3 THEN 'tuple' ELSE 'plain' END AS kind,
-       CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN p_partkey || '_8'
-         WHEN 2 THEN p_size || '000.0' WHEN 3 THEN 'needs_cas' ELSE '' || p_size END AS canonical FROM part""",
+       CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN
+         CASE WHEN regexp_matches('' || p_partkey, '[89]') THEN 'needs_cas' ELSE p_partkey || '_8' END
+         WHEN 2 THEN p_size || '000000.0' WHEN 3 THEN 'needs_cas' ELSE '' || p_size END AS canonical FROM part""",
 )
 def _(t):
     key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
@@ -205,7 +256,7 @@ def _(t):
     raw = (
         F.when(kind == 0, F.concat(F.lit("\\text{"), "p_name", F.lit("}")))
         .when(kind == 1, F.concat(key, F.lit("_{8}")))
-        .when(kind == 2, F.concat(F.lit("\\$"), size, F.lit(",\\!000")))
+        .when(kind == 2, F.concat(F.lit("\\$"), size, F.lit(",\\!000,\\!000")))
         .when(kind == 3, F.concat(F.lit("("), key, F.lit(", "), size, F.lit(")")))
         .otherwise(size)
     )

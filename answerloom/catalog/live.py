@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from answerloom.catalog.boards import ELO_SQL
 from answerloom.catalog.registry import query
 from answerloom.catalog.votes import _STOP
 from answerloom.functions import adapters as A
@@ -24,7 +25,7 @@ def _waves(df, order: str, path: str):
     width = (high - low) // WAVES + 1
     for i in range(WAVES):
         part = df.where(F.floor((F.col(order) - low) / width) == i)
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.write.mode("append").parquet(path)
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -38,7 +39,7 @@ def _(t):
     rows = t.documents.select("doc_id", "text")
     stream = _waves(rows, "doc_id", f"{base}/in")
     # The first table arrives a second time as one more file and must not be chunked again.
-    rows.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    rows.write.mode("append").parquet(f"{base}/in")
     J.drain(J.chunk_stream(stream, f"{base}/out", f"{base}/state", file="doc_id"))
     return t.spark.read.parquet(f"{base}/out").select("doc_id", "pos", "chunk")
 
@@ -46,22 +47,23 @@ def _(t):
 @query(
     "st2_windowed_metrics",
     """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n,
-         CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, min(value) AS lowest, max(value) AS highest
+         CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, round(CAST(sum(CAST(value AS DECIMAL(18,2)))
+         AS DOUBLE) / count(*), 6) + 0.0 AS mean, min(value) AS lowest, max(value) AS highest
        FROM events GROUP BY 1, 2""",
 )
 def _(t):
     base = scratch_path(t.spark, "metrics-stream")
     stream = _waves(t.events.select("event_id", "ts", "event_type", "value"), "event_id", f"{base}/in")
-    updates = J.windowed_metrics(stream)
+    updates = J.windowed_metrics(stream, decimals=2)
     J.drain(J.write_batches(updates, f"{base}/out", f"{base}/state", output_mode="update"))
     out = J.latest(t.spark.read.parquet(f"{base}/out"), ["window_start", "event_type"])
     return out.select(
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n",
-        F.col("total").cast("double").alias("total"), "lowest", "highest",
+        F.col("total").cast("double").alias("total"), round6(F.col("mean")).alias("mean"), "lowest", "highest",
     )
 
 
-@query("st3_online_elo")
+@query("st3_online_elo", ELO_SQL, ("v_votes",))
 def _(t):
     base = scratch_path(t.spark, "votes-stream")
     stream = _waves(V.v_votes(t), "seq", f"{base}/in")

@@ -213,6 +213,24 @@ def _(t):
     return _rounded(O.mean_answer_logprob(V.v_tokens(t)), "avg_logprob")
 
 
+@query(
+    "g2_option_logprob",
+    f"""SELECT seq_id // 4 AS item, seq_id % 4 AS option, {_r("coalesce(avg(logp) FILTER (WHERE "
+          "pos >= 24 + seq_id % 7), '-inf'::DOUBLE)")} AS avg_logprob
+        FROM v_tokens GROUP BY ALL""",
+    _T,
+)
+def _(t):
+    rows = V.v_tokens(t).withColumns(
+        {
+            "item": F.floor(F.col("seq_id") / 4).cast("long"),
+            "option": F.col("seq_id") % 4,
+            "prompt_len": 24 + F.col("seq_id") % 7,
+        }
+    )
+    return _rounded(O.option_logprob(rows, "item", "option"), "avg_logprob")
+
+
 @query(
     "g3_mean_step_entropy",
     f"""SELECT seq_id, {_r('coalesce(avg(h) FILTER (WHERE pos >= 4), 0.0)')} AS entropy FROM (

@@ -212,7 +212,11 @@ def _(t):
     return models(V.v_votes(t))
 
 
-@query("u5_train_validation")
+@query(
+    "u5_train_validation",
+    """SELECT doc_id, lang, CASE WHEN row_number() OVER (ORDER BY md5('123:' || doc_id) DESC, doc_id) <= 50
+         THEN 'validation' ELSE 'train' END AS part FROM documents""",
+)
 def _(t):
     train, validation = O.train_validation_split(t.documents.select("doc_id", "lang"), "doc_id")
     return train.withColumn("part", F.lit("train")).unionByName(
@@ -290,6 +294,25 @@ def _(t):
     return t.documents.select("doc_id", pieces).withColumn("pos", F.col("pos").cast("long"))
 
 
+@query(
+    "udtf1_piece_rows",
+    """SELECT conv_id, turn, 'chunk' AS kind, CAST(s // 50 AS INTEGER) AS pos,
+         substr(text, CAST(s AS BIGINT) + 1, 60) AS piece
+       FROM (SELECT conv_id, turn, text, unnest(range(0, length(text), 50)) AS s FROM conversations)
+       UNION ALL
+       SELECT conv_id, turn, 'line', CAST(i - 1 AS INTEGER), string_split(text, chr(10))[i]
+       FROM (SELECT conv_id, turn, text, unnest(range(1, 1 + len(string_split(text, chr(10))))) AS i
+             FROM conversations)""",
+)
+def _(t):
+    kinds = {"chunk": X.text_chunks("text", 60, 10), "line": F.split("text", "\n")}
+    parts = [
+        t.conversations.select("conv_id", "turn", F.lit(k).alias("kind"), F.posexplode(c).alias("pos", "piece"))
+        for k, c in kinds.items()
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query("x16_token_count", f"SELECT doc_id, {_SIZE_SQL} AS n FROM documents")
 def _(t):
     return t.documents.select("doc_id", X.token_count("text").alias("n"))

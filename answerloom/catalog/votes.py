@@ -131,3 +131,13 @@ def _(t):
 def _(t):
     chain = V.v_samples(t).select("item", F.col("sample_idx").alias("iteration"), "score", "full_text")
     return O.refine_finals(chain)
+
+
+@query(
+    "t5_argmax",
+    """SELECT item, arg_min(letter, letter) AS predicted, max(logp) AS logp FROM (
+         SELECT * FROM v_mcq QUALIFY logp = max(logp) OVER (PARTITION BY item)) GROUP BY item""",
+    ("v_mcq",),
+)
+def _(t):
+    return O.best_option(V.v_mcq(t))

@@ -150,8 +150,18 @@ _BIG = "decimal(38,0)"
 
 
 def _plain_arithmetic(part: Column) -> Column:
-    """Blanks removed; parentheses around a lone number or around everything removed."""
-    bare = F.regexp_replace(part, r"\s+", "")
+    """Products written out, blanks and the parentheses of a lone number or of all removed.
+
+    Numbers side by side, with a blank or a parenthesis between them, are a product. A whole
+    number to a small whole power is that many factors.
+    """
+    power = r"^\s*\(?(\d+)\)?\s*\*\*\s*\(?(\d{1,2})\)?\s*$"
+    base, times = F.regexp_extract(part, power, 1), F.regexp_extract(part, power, 2).try_cast("int")
+    factors = F.array_join(F.array_repeat(base, F.coalesce(times, F.lit(0))), "*")
+    spelled = F.when(times == 0, F.lit("1")).otherwise(factors)
+    bare = F.regexp_replace(part, r"(?<=[\d.)])\s*(?=\()|(?<=\))\s*(?=[\d.])|(?<=[\d.])\s+(?=[\d.])", "*")
+    bare = F.when(part.rlike(power), spelled).otherwise(bare)
+    bare = F.regexp_replace(bare, r"\s+", "")
     lone = rf"(?<![\w.)(])\(({_UNSIGNED})\)(?![\w.(])|(?<=\()\(({_UNSIGNED})\)(?![\w.(])"
     bare = F.regexp_replace(bare, lone, "$1$2")
     return F.regexp_replace(bare, r"^\(([^()]*)\)$", "$1")
@@ -215,6 +225,15 @@ def rational(part: Column | str) -> Column:
     )
 
 
+#: Whole numbers of which each has one spelling.
+_WHOLE = r"^(0|-?[1-9]\d*)\z"
+
+
+def _words_only(part: Column) -> Column:
+    """No digit and no function name: such a text never equals a number."""
+    return ~part.rlike(r"\d|sqrt|root|sin|cos|tan|log|ln|exp|abs|max|min")
+
+
 def part_equality(truth: Column, pred: Column) -> Column:
     """TRUE / FALSE for one pair of parts, NULL when undecided."""
 
@@ -227,10 +246,11 @@ def part_equality(truth: Column, pred: Column) -> Column:
         F.struct(rational(truth).alias("t"), rational(pred).alias("p")),
         lambda s: compare(s["t"], s["p"]),
     )
-    whole = r"^-?(0|[1-9]\d*)$"
     return (
         F.when(truth == pred, F.lit(True))
-        .when(truth.rlike(whole) & pred.rlike(whole), F.lit(False))
+        .when(truth.rlike(_WHOLE) & pred.rlike(_WHOLE), F.lit(False))
+        .when(_words_only(truth) & rational(pred).isNotNull(), F.lit(False))
+        .when(_words_only(pred) & rational(truth).isNotNull(), F.lit(False))
         .otherwise(exact)
     )
 
@@ -262,12 +282,11 @@ def grade(df: DataFrame, pred: str, truth: str, out: str = "verdict") -> DataFra
     )
     p, t = F.col("__pn"), F.col("__tn")
     missing = F.col(pred).isNull() | F.col(truth).isNull() | (p == "") | (t == "")
-    whole = r"^-?(0|[1-9]\d*)\z"
     parts = F.struct(answer_parts(t).alias("t"), answer_parts(p).alias("p"))
     result = (
         F.when(missing, "wrong")
         .when(p == t, "correct")
-        .when(p.rlike(whole) & t.rlike(whole), "wrong")
+        .when(p.rlike(_WHOLE) & t.rlike(_WHOLE), "wrong")
         .otherwise(let(parts, lambda s: verdict_of_parts(s["t"], s["p"])))
     )
     return staged.withColumn(out, result).drop("__pn", "__tn")
@@ -337,10 +356,28 @@ def answer_class(text: Column | str) -> Column:
     tag = None
     for name, pattern in ANSWER_CLASSES:
         hit = (raw if name in ("text", "currency", "matrix") else bare).rlike(pattern)
+        if name == "base_subscript":
+            hit = hit & F.coalesce(_digits_fit(bare), F.lit(False))
         tag = F.when(hit, name) if tag is None else tag.when(hit, name)
     return tag.otherwise("plain")
 
 
+def _plain_double(amount: Column) -> Column:
+    """A decimal amount with one place at least and no exponent, as ``10000000.0``."""
+    exact = amount.try_cast("decimal(38,10)").cast("string")
+    short = F.regexp_replace(exact, r"0+$", "")
+    return F.when(short.endswith("."), F.concat(short, F.lit("0"))).otherwise(short)
+
+
+def _digits_fit(raw: Column) -> Column:
+    """Whether a base subscript is 2 to 36 and every digit before it is below it."""
+    base = F.regexp_extract(raw, r"_\{?([0-9]+)\}?$", 1).try_cast("int")
+    digits = F.split(F.lower(F.regexp_extract(raw, "^([0-9A-Fa-f]+)_", 1)), "")
+    value = lambda d: F.conv(d, 36, 10).cast("int")
+    fits = F.forall(F.filter(digits, lambda d: d != ""), lambda d: value(d) < base)
+    return base.between(2, 36) & fits
+
+
 def class_canonical(text: Column | str) -> Column:
     """Canonical text for the classes that need no algebra; others are 'needs_cas'."""
     raw = strip(col_of(text))
@@ -350,7 +387,7 @@ def class_canonical(text: Column | str) -> Column:
     kind = answer_class(raw)
     return (
         F.when(kind == "text", inner)
-        .when(kind == "currency", amount.try_cast("double").cast("string"))
+        .when(kind == "currency", _plain_double(amount))
         .when(kind == "base_subscript", digits)
         .when((kind == "plain") & raw.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)$"), raw)
         .otherwise("needs_cas")

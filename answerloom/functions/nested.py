@@ -27,6 +27,8 @@ THINKING_PATHS = [
     "$.reasoning_content", "$.thinking", "$.output",
 ]
 MAX_DEPTH = 3
+# Stands for text below MAX_DEPTH; no JSON text holds this character unescaped.
+_DEEP = "\u0001"
 
 
 def _keys(names: list[str]) -> Column:
@@ -38,7 +40,7 @@ def _kind(value: Column) -> Column:
 
 
 def variant_text(value: Column, depth: int = MAX_DEPTH) -> Column:
-    """Text inside a JSON value, '' when there is none; nesting below ``depth`` is not read."""
+    """Text inside a JSON value, '' when there is none; nesting below ``depth`` gives a mark."""
 
     def as_text(v: Column) -> Column:
         return F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))
@@ -56,7 +58,7 @@ def variant_text(value: Column, depth: int = MAX_DEPTH) -> Column:
 
     def of_object(v: Column) -> Column:
         if depth == 0:
-            return F.lit("")
+            return F.when(F.to_json(v).rlike(':"[^"]'), F.lit(_DEEP)).otherwise("")
 
         def gather(fields: Column) -> Column:
             named = F.filter(_keys(TEXT_KEYS), lambda k: F.map_contains_key(fields, k))
@@ -97,8 +99,8 @@ def _first_text(value: Column, paths: list[str]) -> Column:
 def response_fields(raw: Column | str) -> Column:
     """``struct(content, thinking, error)`` of one raw response line.
 
-    Content falls back to the thinking text. Lines without usable text get an error and
-    are meant for a quarantine table.
+    Content falls back to the thinking text. Lines without usable text, or with text nested
+    deeper than ``MAX_DEPTH``, get an error and are meant for a quarantine table.
     """
 
     def fields(v: Column) -> Column:
@@ -118,7 +120,10 @@ def response_fields(raw: Column | str) -> Column:
         )
 
     def checked(f: Column) -> Column:
-        error = F.coalesce(f["problem"], F.when(f["content"] == "", "no text"))
+        deep = F.contains(F.concat(f["content"], f["thinking"]), F.lit(_DEEP))
+        error = F.coalesce(
+            f["problem"], F.when(deep, "too deep"), F.when(f["content"] == "", "no text")
+        )
         return F.struct(
             F.when(error.isNull(), f["content"]).alias("content"),
             F.when(error.isNull(), f["thinking"]).alias("thinking"),

@@ -178,6 +178,9 @@ def _bradley_terry_distributed(
     pairs: DataFrame, arena: str, steps: int, checkpoint_every: int = 10
 ) -> DataFrame:
     """The same fit with the model table and the pair counts kept as Spark tables."""
+    # A missing arena joins as a value of its own; it is turned back at the end.
+    named, null_arena = F.concat(F.lit("="), F.col(arena)), F.lit("")
+    pairs = pairs.withColumn(arena, F.coalesce(named, null_arena))
     share = pairs.groupBy(arena).agg(F.sum("wins").alias("__total"))
     edges = reliable_checkpoint(
         pairs.join(share, arena).select(
@@ -219,6 +222,7 @@ def _bradley_terry_distributed(
             state = reliable_checkpoint(state)
     scaled = state.withColumn("rating", F.col("theta") * (RATING_SCALE / math.log(10.0)))
     centre = scaled.groupBy(arena).agg(F.avg("rating").alias("__mean"))
+    back = F.when(F.col(arena) != null_arena, F.substring(arena, 2, 1 << 30)).alias(arena)
     return scaled.join(centre, arena).select(
-        arena, "model", (F.col("rating") - F.col("__mean") + START_RATING).alias("rating")
+        back, "model", (F.col("rating") - F.col("__mean") + START_RATING).alias("rating")
     )

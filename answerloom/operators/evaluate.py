@@ -12,14 +12,17 @@ from answerloom.functions.text import token_count
 
 
 def match_predictions(truth: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
-    """Inner equi-join that fails when either side has a key the other one lacks."""
+    """Inner equi-join that fails when either side has a key the other one lacks.
+
+    The check is a filter, so it holds whichever columns are used afterwards.
+    """
     left = truth.withColumn("__t", F.lit(True))
     right = predictions.withColumn("__p", F.lit(True))
     both = left.join(right, key, "full_outer")
     complete = F.col("__t").isNotNull() & F.col("__p").isNotNull()
     message = F.concat(F.lit("unmatched record "), F.col(key).cast("string"))
-    checked = F.when(complete, F.col(key)).otherwise(F.raise_error(message))
-    return both.withColumn(key, checked).drop("__t", "__p")
+    checked = F.when(complete, True).otherwise(F.raise_error(message).cast("boolean"))
+    return both.where(checked).drop("__t", "__p")
 
 
 def graded(df: DataFrame, text: str, truth: str, fallback: str = "number_then_full") -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from answerloom.plans.skew import group_positions
+from answerloom.plans.skew import group_positions, null_safe_join
 
 
 def row_blocks(
@@ -48,12 +49,23 @@ def train_validation_split(
 ) -> tuple[DataFrame, DataFrame]:
     """Exactly ``validation_size`` rows for validation, chosen by a seeded hash order.
 
-    The validation ids are a top-n of the hash order, so no global sort of the table is
-    needed; the rest follows from an anti join.
+    The order is the MD5 digest of seed and id, largest first, ties by id. Only the id and
+    its count travel: rows that share an id are numbered within it, and the last id chosen
+    gives just as many rows as are still wanted. A missing id is an id like any other.
     """
-    shuffled = F.xxhash64(F.col(row_id), F.lit(seed))
     total = df.count()
     if not 1 <= validation_size < total:
         raise ValueError("validation_size must be between 1 and the row count - 1")
-    chosen = df.select(row_id).orderBy(shuffled.desc(), F.col(row_id)).limit(validation_size)
-    return df.join(chosen, row_id, "left_anti"), df.join(chosen, row_id, "left_semi")
+    shuffled = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(row_id).cast("string"), F.lit(""))))
+    ids = df.groupBy(row_id).agg(F.count("*").alias("__n"))
+    ids = ids.orderBy(shuffled.desc(), F.col(row_id)).limit(validation_size)
+    order = W.orderBy(shuffled.desc(), F.col(row_id)).rowsBetween(W.unboundedPreceding, -1)
+    room = F.lit(validation_size) - F.coalesce(F.sum("__n").over(order), F.lit(0))
+    quota = ids.withColumn("__quota", room).where("__quota > 0").drop("__n")
+    marked = null_safe_join(df, quota, [row_id], "left")
+    place = F.row_number().over(W.partitionBy(row_id).orderBy(*[F.col(c) for c in df.columns]))
+    chosen = marked.where("__quota IS NOT NULL").withColumn("__place", place)
+    validation = chosen.where(F.col("__place") <= F.col("__quota")).select(*df.columns)
+    beyond = chosen.where(F.col("__place") > F.col("__quota")).select(*df.columns)
+    train = marked.where("__quota IS NULL").select(*df.columns).unionAll(beyond)
+    return train, validation

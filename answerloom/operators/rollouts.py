@@ -200,6 +200,18 @@ def mean_answer_logprob(tokens: DataFrame, seq: str = "seq_id", empty: float = -
     return tokens.groupBy(seq).agg(mean.alias("avg_logprob"))
 
 
+def option_logprob(
+    tokens: DataFrame, item: str, option: str, empty: float = float("-inf")
+) -> DataFrame:
+    """G2 teacher-forced: mean log-probability of each option's own tokens.
+
+    An option without tokens behind the prompt gets ``empty``, so it never wins.
+    """
+    answer = F.col("pos") >= F.col("prompt_len")
+    mean = F.coalesce(F.avg(F.when(answer, F.col("logp"))), F.lit(float(empty)))
+    return tokens.groupBy(item, option).agg(mean.alias("avg_logprob"))
+
+
 def mean_step_entropy(tokens: DataFrame, seq: str = "seq_id") -> DataFrame:
     """Entropy of each answer position, then the mean over positions; 0 when empty."""
     p = F.col("p")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from answerloom.functions.text import parse_numeric
 from answerloom.plans.skew import (
+    null_safe_join,
     SEGMENT_ROWS,
     group_positions,
     running,
@@ -71,7 +72,7 @@ def moving_average_fraction(
     before = prefix.select(
         *series, (F.col("pos") + F.col("__w")).alias("pos"), F.col("__cs").alias("__before")
     )
-    joined = prefix.join(before, [*series, "pos"], "left")
+    joined = null_safe_join(prefix, before, [*series, "pos"], "left")
     total = F.col("__cs") - F.coalesce(F.col("__before"), F.lit(0))
     n = F.least(F.col("pos") + 1, F.col("__w"))
     return joined.withColumn("smoothed", total.cast("double") / n).drop("__cs", "__before", "__w")

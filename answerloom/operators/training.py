@@ -105,14 +105,16 @@ def chat_prompts(
     turn: str = "turn",
     role: str = "role",
     text: str = "text",
-    turns_per_part: int = 1000,
+    turns_per_part: int | None = None,
 ) -> DataFrame:
     """Turns in order with role markup, ended by an open assistant turn.
 
-    A conversation of more than ``turns_per_part`` turns comes as several parts in order;
-    the parts put together are the whole prompt, so no single value grows without bound.
+    One conversation is one prompt, part 0. Asked for with ``turns_per_part``, longer ones
+    come as several parts in order; put together they are the whole prompt.
     """
-    part = F.floor(F.col(turn) / turns_per_part).cast("long")
+    part = F.lit(0).cast("long")
+    if turns_per_part is not None:
+        part = F.floor(F.col(turn) / turns_per_part).cast("long")
     line = F.concat(
         F.lit(TURN_OPEN), F.col(role), F.lit("\n"), F.col(text), F.lit(TURN_CLOSE + "\n")
     )

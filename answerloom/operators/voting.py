@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerloom.plans.skew import SEGMENT_ROWS, running, with_group_stats
+from answerloom.plans.skew import null_safe_join, SEGMENT_ROWS, running, with_group_stats
 
 
 def answer_counts(samples: DataFrame, item: str = "item", answer: str = "answer") -> DataFrame:
@@ -102,6 +102,23 @@ def early_stopped_vote(samples: DataFrame, item: str = "item", answer: str = "an
     return majority_vote(samples_until_majority(samples, item, answer), item, answer)
 
 
+def best_option(
+    options: DataFrame, item: str = "item", option: str = "letter", score: str = "logp"
+) -> DataFrame:
+    """T5: the option with the highest score per item; the first option wins ties.
+
+    Missing scores lose to any number; an item without any number takes its first option.
+    """
+    value = F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))
+    top = options.groupBy(item).agg(F.max(value).alias("__top"))
+    firsts = null_safe_join(options.withColumn("__v", value), top, [item], "inner")
+    return (
+        firsts.where(F.col("__v") == F.col("__top"))
+        .groupBy(item)
+        .agg(F.min(option).alias("predicted"), F.first("__top").alias(score))
+    )
+
+
 def best_of_n(samples: DataFrame, item: str = "item", score: str = "score") -> DataFrame:
     """The whole row of the best score per item; the first wins ties."""
     rest = [c for c in samples.columns if c != item]

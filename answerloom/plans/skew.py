@@ -20,6 +20,17 @@ MAX_WINDOW_ROWS = 5_000_000
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Equi-join in which a missing key equals a missing key; the keys of ``left`` stay."""
+    marks = {f"__j{i}": key for i, key in enumerate(keys)}
+    others = [c for c in right.columns if c not in keys]
+    renamed = right.select(*[F.col(k).alias(m) for m, k in marks.items()], *others)
+    match = F.lit(True)
+    for mark, key in marks.items():
+        match = match & left[key].eqNullSafe(renamed[mark])
+    return left.join(renamed, match, how).drop(*marks)
+
+
 def with_group_stats(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
     """Add per-group aggregates to every row.
 
@@ -130,7 +141,7 @@ def running(
             for name, (kind, col) in outputs.items()
         ],
     )
-    joined = local.join(carried, [*keys, "__seg"], "left")
+    joined = null_safe_join(local, carried, [*keys, "__seg"], "left")
     for name, (kind, _) in outputs.items():
         joined = joined.withColumn(
             name, _COMBINE[kind][1](F.col(f"__l_{name}"), F.col(f"__c_{name}"))

@@ -225,6 +225,8 @@ def with_views(names: tuple[str, ...], body: str) -> str:
     if not needed:
         return body
     parts = ",\n".join(f"{n} AS ({VIEW_SQL[n].strip()})" for n in needed)
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {parts},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {parts},\n{body[5:]}"
     return f"WITH {parts}\n{body}"

@@ -76,27 +76,38 @@ def _kind(value: Column) -> Column:
 
 
 def read_json_table(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of objects as rows under the first object's keys; else one raw row.
+    """JSON arrays of objects as rows; a file that is anything else is one raw row.
 
-    The keys come from one object; the rows are exploded in the tasks that read the files.
+    A file's columns are the keys of its first object. Several files are put under the union
+    of their columns, in order of first appearance by file, with blanks where a file lacks
+    one. Only if no file is an array are there just raw rows.
     """
     files = _whole_files(spark, path).withColumn("v", strict_json(F.col("text")))
     first = F.try_variant_get("v", "$[0]", "variant")
     tabular = (_kind(F.col("v")) == "ARRAY") & (_kind(first) == "OBJECT")
-    odd = files.where(~F.coalesce(tabular, F.lit(False))).limit(1).count()
-    head = None
-    if not odd:
-        keys = F.map_keys(F.try_variant_get(first, "$", "map<string,variant>"))
-        head = files.where(tabular).select(keys.alias("k")).first()
-    if head is None:
-        return files.select(F.col("text").alias(RAW_JSON))
-    rows = files.select(F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("r"))
-    return rows.select(
+    tabular = F.coalesce(tabular, F.lit(False))
+    keys = F.map_keys(F.try_variant_get(first, "$", "map<string,variant>"))
+    named = files.where(tabular).select("file", F.posexplode(keys).alias("pos", "k"))
+    head = named.groupBy("k").agg(F.min(F.struct("file", "pos")).alias("at")).orderBy("at").collect()
+    odd = files.where(~tabular)
+    if not head:
+        return odd.select(F.col("text").alias(RAW_JSON))
+    rows = files.where(tabular).select(
+        keys.alias("own"), F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("r")
+    )
+    names = [r["k"] for r in head]
+    rows = rows.select(
         *[
-            F.coalesce(F.try_variant_get("r", f"$['{k}']", "string"), F.lit("")).alias(k)
-            for k in head["k"]
+            F.coalesce(
+                F.when(F.array_contains("own", k), F.try_variant_get("r", f"$['{k}']", "string")),
+                F.lit(""),
+            ).alias(k)
+            for k in names
         ]
     )
+    if odd.limit(1).count():
+        rows = rows.unionByName(odd.select(F.col("text").alias(RAW_JSON)), allowMissingColumns=True)
+    return rows
 
 
 def _record_rows(files: DataFrame) -> DataFrame:
@@ -114,17 +125,20 @@ def _record_rows(files: DataFrame) -> DataFrame:
     staged = files.withColumn("v", strict_json(F.col("text"))).withColumn(
         "rows", F.coalesce(whole, F.when(v.isNull(), lines))
     )
-    scalar = staged.where(v.isNotNull() & F.col("rows").isNull()).select(
-        "file", F.lit(0).alias("line_no"), F.col("text").alias("record"), F.lit(True).alias("bad")
+    # ``bad`` repeats the row's own condition: a check on it may run before the filter does.
+    lone = v.isNotNull() & F.col("rows").isNull()
+    scalar = staged.where(lone).select(
+        "file", F.lit(0).alias("line_no"), F.col("text").alias("record"), lone.alias("bad")
     )
     rows = staged.where(F.col("rows").isNotNull()).select(
         "file", v.isNull().alias("__lines"), F.posexplode("rows").alias("pos", "record")
     )
-    checked = rows.where(~F.col("__lines") | ~is_blank(F.col("record"))).select(
+    used = ~F.col("__lines") | ~is_blank(F.col("record"))
+    checked = rows.where(used).select(
         "file",
         (F.col("pos") + 1).alias("line_no"),
         "record",
-        strict_json(F.col("record")).isNull().alias("bad"),
+        (used & strict_json(F.col("record")).isNull()).alias("bad"),
     )
     return checked.unionByName(scalar)
 
@@ -145,9 +159,8 @@ def read_records(
             F.lit(None).cast("int").alias("line_no"),
             F.col("value").alias("record"),
         )
-        rows = lines.where(~is_blank(F.col("record"))).withColumn(
-            "bad", strict_json(F.col("record")).isNull()
-        )
+        used = ~is_blank(F.col("record"))
+        rows = lines.where(used).withColumn("bad", used & strict_json(F.col("record")).isNull())
     else:
         rows = _record_rows(_whole_files(spark, path))
     if quarantine:
@@ -156,18 +169,19 @@ def read_records(
         F.lit("invalid JSON on line "), F.coalesce(F.col("line_no").cast("string"), F.lit("?")),
         F.lit(" in "), F.col("file"),
     )
-    record = F.when(~F.col("bad"), F.col("record")).otherwise(F.raise_error(where))
-    return rows.select("file", "line_no", record.alias("record"))
+    sound = F.when(~F.col("bad"), True).otherwise(F.raise_error(where).cast("boolean"))
+    return rows.where(sound).select("file", "line_no", "record")
 
 
 def record_fields(records: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Named text fields of the records; a missing field stops the job."""
     v = F.try_parse_json("record")
-    out = []
-    for name in fields:
-        value = F.try_variant_get(v, f"$['{name}']", "string")
-        out.append(F.coalesce(value, F.raise_error(F.lit(f"missing key: {name}"))).alias(name))
-    return records.select("file", "line_no", *out)
+    values = {name: F.try_variant_get(v, f"$['{name}']", "string") for name in fields}
+    sound = F.lit(True)
+    for name, value in values.items():
+        missing = F.raise_error(F.lit(f"missing key: {name}")).cast("boolean")
+        sound = sound & F.when(value.isNotNull(), True).otherwise(missing)
+    return records.where(sound).select("file", "line_no", *[c.alias(n) for n, c in values.items()])
 
 
 def numbered_lines(df: DataFrame, key: str, text: str, drop_blank: bool = False) -> DataFrame:
@@ -231,7 +245,7 @@ def read_metric_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     labelled = names[0] in present
     order = present if labelled else names
     raw = spark.read.csv(path, schema=", ".join(f"`{c}` string" for c in order), nullValue="")
-    rows = raw.where(F.col(f"`{names[0]}`") != names[0]) if labelled else raw
+    rows = raw.where(~F.col(f"`{names[0]}`").eqNullSafe(names[0])) if labelled else raw
     return rows.select(
         *[
             (F.col(f"`{n}`") if n in order else F.lit(None)).try_cast(kinds[n]).alias(n)

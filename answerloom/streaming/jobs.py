@@ -74,12 +74,15 @@ def windowed_metrics(
     value: str = "value",
     width: str = "1 day",
     late: str = "1 day",
+    decimals: int | None = None,
 ) -> DataFrame:
-    """ST2: count, mean and extremes per key and time window; state older than ``late`` is dropped.
+    """ST2: count, sum, mean and extremes per key and window; state older than ``late`` is dropped.
 
-    Sums are kept as decimals so the result does not depend on the batch boundaries.
+    Works in update and append mode; in append mode a window comes once, when it has closed.
+    With ``decimals`` the values are exact to that many places, and sums do not depend on
+    the batch boundaries; without, they are doubles.
     """
-    exact = F.col(value).cast("decimal(18,2)")
+    exact = F.col(value).cast("double" if decimals is None else f"decimal(28,{decimals})")
     return (
         events.withColumn(time, F.col(time).cast("timestamp"))
         .withWatermark(time, late)
@@ -87,10 +90,12 @@ def windowed_metrics(
         .agg(
             F.count("*").alias("n"),
             F.sum(exact).alias("total"),
+            F.avg(F.col(value).cast("double")).alias("mean") if decimals is None
+            else (F.sum(exact).cast("double") / F.count(exact)).alias("mean"),
             F.min(value).alias("lowest"),
             F.max(value).alias("highest"),
         )
-        .select(F.col("window.start").alias("window_start"), key, "n", "total", "lowest", "highest")
+        .select(F.col("window.start").alias("window_start"), key, "n", "total", "mean", "lowest", "highest")
     )
 
 

@@ -123,3 +123,130 @@ def test_term_lookup_both_ways(spark):
     assert [tuple(r) for r in joined.collect()].__len__() == len(want)
     assert {tuple(r) for r in joined.collect()} == want
     assert {tuple(r) for r in literal.collect()} == want
+
+
+MISSING = [(None, i, float(i)) for i in range(8)] + [("a", i, float(i * i)) for i in range(8)]
+
+
+def test_running_and_moving_average_with_missing_keys(spark):
+    from answerloom.operators.sequences import moving_average_fraction
+    from answerloom.plans.skew import running
+
+    df = spark.createDataFrame(MISSING, "k string, pos long, v double").repartition(3)
+    want = {(k, i): sum(v for kk, j, v in MISSING if kk == k and j <= i) for k, i, _ in MISSING}
+    for rows in (3, 100):
+        out = running(df, ["k"], "pos", {"s": ("sum", F.col("v"))}, segment_rows=rows).collect()
+        assert {(r.k, r.pos): r.s for r in out} == want
+        smooth = moving_average_fraction(df, ["k"], [F.col("pos")], "v", 0.25, segment_rows=rows)
+        got = {(r.k, r.pos): r.smoothed for r in smooth.collect()}
+        assert [got[None, i] for i in range(8)] == [0.0, 0.5, 1.5, 2.5, 3.5, 4.5, 5.5, 6.5]
+
+
+def test_term_lookup_with_repeated_and_missing_keys(spark):
+    from answerloom.operators.joins import terms_in_text
+
+    rows = [(1, "the wandering river"), (1, "the wandering river"), (None, "Wandering"), (2, None), (2, "ab")]
+    texts = spark.createDataFrame(rows, "k int, text string")
+    terms = spark.createDataFrame([("wandering",), ("Wandering ",), ("ab",), ("river",), (None,), ("",)], "term string")
+    ways = [
+        sorted((tuple(r) for r in terms_in_text(texts, "k", "text", terms, "term", max_literal_terms=n).collect()), key=str)
+        for n in (0, 200)
+    ]
+    want = [(1, "river")] * 2 + [(1, "wandering")] * 2 + [(2, "ab"), (None, "wandering")]
+    assert ways[0] == ways[1] == sorted(want, key=str)
+
+
+def test_term_lookup_in_blocks(spark):
+    from answerloom.operators.joins import joined_terms_in_text
+
+    texts = spark.createDataFrame([(i, f"alpha{i} beta gamma") for i in range(20)], "k int, text string")
+    terms = spark.createDataFrame([(f"alpha{i}",) for i in range(20)] + [("gamma",)], "term string")
+    ways = [
+        sorted(tuple(r) for r in joined_terms_in_text(texts, "k", "text", terms, "term", max_term_chars=n).collect())
+        for n in (10, 10_000)
+    ]
+    assert ways[0] == ways[1] and len(ways[0]) == 20 + 20 + 10
+
+
+def test_bradley_terry_rates_a_missing_arena_on_both_sides(spark):
+    from answerloom.operators.boards import bradley_terry
+
+    votes = [(a, w, l) for a in ("x", None) for w, l in [("m1", "m2"), ("m2", "m3"), ("m1", "m3"), ("m3", "m1")]]
+    df = spark.createDataFrame(votes, "arena string, winner string, loser string")
+    ways = [
+        {(r.arena, r.model): round(r.rating, 6) for r in bradley_terry(df, max_pairs=n, steps=5).collect()} for n in (1, 100)
+    ]
+    assert ways[0] == ways[1] and len(ways[0]) == 6
+
+
+def test_whole_prompts_by_default(spark):
+    from answerloom.operators.training import chat_prompts
+
+    turns = spark.createDataFrame([(1, i, "user", f"t{i}") for i in range(1500)], "conv_id int, turn int, role string, text string")
+    assert chat_prompts(turns).count() == 1
+
+
+def test_deep_text_is_an_error(spark):
+    from answerloom.functions.nested import response_fields
+
+    raw = '{"choices":[{"message":{"content":{"text":{"text":{"text":{"text":{"text":"deep"}}}},"value":"ok"}}}]}'
+    got = spark.createDataFrame([(raw,)], "raw string").select(response_fields("raw").alias("r")).first().r
+    assert got.error == "too deep" and got.content is None
+
+
+def test_checks_hold_when_columns_are_pruned(spark, tmp_path):
+    import pytest
+
+    from answerloom.operators.evaluate import match_predictions
+    from answerloom.sources.readers import read_records, record_fields
+
+    truth = spark.createDataFrame([(1, "a"), (2, "b")], "k int, t string")
+    made = spark.createDataFrame([(1, "a"), (3, "b")], "k int, p string")
+    with pytest.raises(Exception, match="unmatched record"):
+        match_predictions(truth, made, "k").groupBy("t").count().collect()
+    (tmp_path / "r.jsonl").write_text('{"a": 1}\nbroken\n\n{"a": 2}\n')
+    for way in (None, True):
+        with pytest.raises(Exception, match="invalid JSON"):
+            read_records(spark, str(tmp_path), json_lines=way).count()
+    (tmp_path / "r.jsonl").write_text('{"a": 1}\n\n{"b": 2}\n')
+    with pytest.raises(Exception, match="missing key"):
+        record_fields(read_records(spark, str(tmp_path)), ["a"]).count()
+
+
+def test_json_tables_of_a_folder_share_their_columns(spark, tmp_path):
+    from answerloom.sources.readers import read_json_table, read_metric_log
+
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "1.json").write_text('[{"a": 1}]')
+    (tmp_path / "j" / "2.json").write_text('[{"b": 2, "a": 3}]')
+    rows = read_json_table(spark, str(tmp_path / "j"))
+    assert rows.columns == ["a", "b"]
+    assert sorted(tuple(r) for r in rows.collect()) == [("1", ""), ("3", "2")]
+    (tmp_path / "m.csv").write_text("step,loss\n1,0.5\n,0.25\n")
+    log = read_metric_log(spark, str(tmp_path / "m.csv"), "step long, loss double").collect()
+    assert [(r.step, r.loss) for r in log] == [(1, 0.5), (None, 0.25)]
+
+
+def test_vectors_of_another_length_stop_and_zero_prototypes_never_win(spark):
+    import pytest
+
+    from answerloom.operators.vectors import mean_pool, nearest_prototype
+
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (1, None), (1, [3.0, 2.0])], "k int, embedding array<double>")
+    assert mean_pool(df, ["k"], "embedding", 2).first().embedding == [2.0, 2.0]
+    with pytest.raises(Exception, match="vector of length 2"):
+        mean_pool(df, ["k"], "embedding", 3).count()
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "vec_id int, embedding array<double>")
+    protos = spark.createDataFrame([(0, [0.0, 0.0]), (1, [-1.0, 0.0])], "label int, embedding array<double>")
+    got = {r.vec_id: (r.predicted, r.similarity) for r in nearest_prototype(rows, protos).collect()}
+    assert got == {1: (1, -1.0), 2: (None, None)}
+
+
+def test_split_takes_exactly_n_rows_of_repeated_ids(spark):
+    from answerloom.operators.ordering import train_validation_split
+
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "e"), (None, "f")], "k int, v string")
+    for n in range(1, 6):
+        train, valid = train_validation_split(df, "k", n)
+        assert valid.count() == n and train.count() == 6 - n
+        assert sorted(r.v for r in train.unionAll(valid).collect()) == list("abcdef")
