@@ -135,16 +135,15 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def distinct_counts(df: DataFrame, columns: Sequence[str], threshold: int = 5) -> DataFrame:
     """A5: exact distinct values per column and whether there are more than ``threshold``.
 
-    Each column is counted as ``distinct`` then ``count``; both steps combine map-side.
+    One scan: a row becomes its (column, value) pairs, which are made distinct map-side
+    first. A column without any value counts 0.
     """
-    parts = []
-    for c in columns:
-        values = df.select(F.col(c).cast("string").alias("v")).where("v IS NOT NULL").distinct()
-        parts.append(values.agg(F.count("*").alias("n")).select(F.lit(c).alias("column"), "n"))
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.union(part)
-    return merged.withColumn("many", F.col("n") > threshold)
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns]
+    values = df.select(F.inline(F.array(*pairs))).distinct()
+    counts = values.groupBy("column").agg(F.count("v").alias("n"))
+    zeros = df.sparkSession.createDataFrame([(c, 0) for c in columns], "column string, n long")
+    counts = counts.unionByName(zeros).groupBy("column").agg(F.max("n").alias("n"))
+    return counts.withColumn("many", F.col("n") > threshold)
 
 
 def distinct_counts_approx(df: DataFrame, columns: Sequence[str], rsd: float = 0.02) -> DataFrame:

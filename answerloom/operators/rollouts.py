@@ -40,19 +40,35 @@ def mean_advantage(
 def multi_reward_advantage(
     df: DataFrame, rewards: dict[str, float], group: str = "prompt_id", out: str = "advantage"
 ) -> DataFrame:
-    """Normalise each reward in its group, add them by weight, normalise the sum again."""
-    first = {}
-    for i, name in enumerate(rewards):
-        first[f"__m{i}"] = F.avg(name)
-        first[f"__s{i}"] = F.stddev_samp(name)
-    staged = with_group_stats(df, [group], first)
-    total = F.lit(0.0)
-    for i, (name, weight) in enumerate(rewards.items()):
-        part = _normalised(F.col(name), F.col(f"__m{i}"), F.col(f"__s{i}"))
-        total = total + F.lit(float(weight)) * part
-    return group_advantage(staged.withColumn("__sum", total).drop(*first), "__sum", group, out).drop(
-        "__sum"
-    )
+    """Normalise each reward in its group, add them by weight, normalise the sum again.
+
+    The sum's mean is zero and its variance follows from the rewards' covariances, so one
+    aggregate and one join serve both normalisations. A missing reward counts nowhere: its
+    row gets no advantage and is left out of the group's figures.
+    """
+    names, weights = list(rewards), [float(w) for w in rewards.values()]
+    whole = F.lit(True)
+    for name in names:
+        whole = whole & F.col(name).isNotNull()
+    used = {name: F.when(whole, F.col(name)) for name in names}
+    stats = {}
+    for i, a in enumerate(names):
+        stats[f"__m{i}"] = F.avg(used[a])
+        stats[f"__s{i}"] = F.stddev_samp(used[a])
+        for j in range(i):
+            stats[f"__c{i}_{j}"] = F.covar_samp(used[a], used[names[j]])
+    staged = with_group_stats(df, [group], stats)
+    total, variance = F.lit(0.0), F.lit(0.0)
+    for i, name in enumerate(names):
+        deviation = F.col(f"__s{i}")
+        total = total + weights[i] * _normalised(F.col(name), F.col(f"__m{i}"), deviation)
+        share = weights[i] / (deviation + STD_GUARD)
+        variance = variance + share * share * deviation * deviation
+        for j in range(i):
+            other = weights[j] / (F.col(f"__s{j}") + STD_GUARD)
+            variance = variance + 2 * share * other * F.col(f"__c{i}_{j}")
+    spread = F.sqrt(F.greatest(variance, F.lit(0.0)))
+    return staged.withColumn(out, _normalised(total, F.lit(0.0), spread)).drop(*stats)
 
 
 def advantage_stats(df: DataFrame, step: str = "step", advantage: str = "advantage") -> DataFrame:

@@ -18,8 +18,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from answerloom.functions.common import col_of
 
-QUERY_BLOCK = 4096
-MAX_QUERIES = 1_000_000
+# Query vectors handed to the tasks at once; the big side is scanned once for each block.
+BLOCK_BYTES = 64 << 20
+# Queries compared with a batch of the big side at once.
+QUERY_SLICE = 1024
 
 
 def squared_l2(a: Column | str, b: Column | str) -> Column:
@@ -40,20 +42,32 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(dot(left, right), F.nullif(norm, F.lit(0.0)))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    if len(flat) != len(column) * width:
+        raise ValueError(f"a vector is not of length {width}")
+    return flat.reshape(len(column), width)
 
 
 def _blocks(queries: DataFrame, query_id: str, vector: str) -> Iterator[tuple[list, np.ndarray]]:
-    """Query vectors in id order, one bounded block at a time."""
-    total = queries.count()
-    if total > MAX_QUERIES:
-        raise ValueError(f"{total} query vectors exceed the limit of {MAX_QUERIES}")
-    slim = queries.select(query_id, vector)
-    for offset in range(0, total, QUERY_BLOCK):
-        rows = slim.orderBy(query_id).offset(offset).limit(QUERY_BLOCK).collect()
-        yield [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
+    """Query vectors in blocks of about ``BLOCK_BYTES``, as many as there are.
+
+    A block is a hash share of the ids, so no sort is needed. Missing vectors are left out;
+    vectors of different lengths are an error.
+    """
+    slim = queries.select(F.col(query_id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    slim = slim.where("v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
+    total, low, high = slim.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
+    if not total:
+        return
+    if low != high:
+        raise ValueError(f"query vectors have lengths from {low} to {high}")
+    blocks = -(-total * high * 8 // BLOCK_BYTES)
+    for number in range(max(1, blocks)):
+        mine = slim.where(F.pmod(F.xxhash64("id"), F.lit(max(1, blocks))) == number)
+        rows = sorted(mine.collect(), key=lambda r: (r["id"] is None, r["id"]))
+        if rows:
+            yield [r["id"] for r in rows], np.array([r["v"] for r in rows], dtype=np.float64)
 
 
 def nearest(
@@ -67,12 +81,16 @@ def nearest(
 ) -> DataFrame:
     """V1: the exact ``k`` nearest rows per query by squared distance, ties by id.
 
-    When fewer than ``k`` rows exist, fewer come back.
+    When fewer than ``k`` rows exist, fewer come back. Rows and queries whose vector is
+    missing or has a missing element are left out; another length stops the job. A task
+    keeps ``k`` rows a query, which are ranked per query and then cut again.
     """
     id_type = base.schema[base_id].dataType.simpleString()
     q_type = queries.schema[query_id].dataType.simpleString()
     schema = f"{query_id} {q_type}, {base_id} {id_type}, distance double"
     found = None
+    base = base.select(base_id, F.col(vector).cast("array<double>").alias(vector))
+    base = base.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
     for ids, block in _blocks(queries, query_id, query_vector):
         typed = pa.array(ids, type=to_arrow_type(queries.schema[query_id].dataType))
         part = base.select(base_id, vector).mapInArrow(_local_top_k(typed, block, k, schema), schema)
@@ -96,18 +114,25 @@ def _local_top_k(query_ids: pa.Array, block: np.ndarray, k: int, schema: str):
                 continue
             ids_type = batch.column(0).type
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = _matrix(batch.column(1))
-            cross = rows @ block.T
-            dist = np.maximum((rows * rows).sum(axis=1)[:, None] + norms[None, :] - 2 * cross, 0.0)
-            for j in range(len(query_ids)):
-                d = dist[:, j]
-                near = np.arange(len(d))
-                if len(d) > k:
-                    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-                all_d = np.concatenate([best_dist[j], d[near]])
-                all_i = np.concatenate([best_ids[j], ids[near]]) if len(best_ids[j]) else ids[near]
-                keep = np.lexsort((all_i, all_d))[:k]
-                best_dist[j], best_ids[j] = all_d[keep], all_i[keep]
+            rows = _matrix(batch.column(1), block.shape[1])
+            lengths = (rows * rows).sum(axis=1)
+            for at in range(0, len(block), QUERY_SLICE):
+                part = block[at : at + QUERY_SLICE]
+                size = norms[at : at + QUERY_SLICE]
+                rough = lengths[:, None] + size[None, :] - 2 * (rows @ part.T)
+                # The rough form loses digits; whatever may be among the k is computed again.
+                slack = 1e-12 * rows.shape[1] * (lengths.max() + size)
+                bound = np.partition(rough, k - 1, axis=0)[k - 1] if len(rows) > k else np.inf
+                near, which = np.nonzero((rough <= bound + 2 * slack).T)[::-1]
+                starts = np.searchsorted(which, np.arange(len(part) + 1))
+                for j in range(len(part)):
+                    mine = near[starts[j] : starts[j + 1]]
+                    exact = ((rows[mine] - part[j]) ** 2).sum(axis=1)
+                    all_d = np.concatenate([best_dist[at + j], exact])
+                    old, new = best_ids[at + j], ids[mine]
+                    all_i = np.concatenate([old, new]) if len(old) else new
+                    keep = np.lexsort((all_i, all_d))[:k]
+                    best_dist[at + j], best_ids[at + j] = all_d[keep], all_i[keep]
         if ids_type is None:
             return
         for j in range(len(query_ids)):
@@ -160,26 +185,31 @@ def nearest_prototype(
     vector: str = "embedding",
     label: str = "label",
 ) -> DataFrame:
-    """V5: the prototype with the highest cosine per row; the first label wins ties."""
+    """V5: the prototype with the highest cosine per row; the first label wins ties.
+
+    A row whose vector is missing, has a missing element or no length is like nothing.
+    """
     id_type = df.schema[row_id].dataType.simpleString()
     label_type = prototypes.schema[label].dataType.simpleString()
     schema = f"{row_id} {id_type}, predicted {label_type}, similarity double"
     arrow_type = to_arrow_type(prototypes.schema[label].dataType)
     parts = []
-    for number, (labels, block) in enumerate(_blocks(prototypes, label, vector)):
+    for labels, block in _blocks(prototypes, label, vector):
         scan = _best_cosine(pa.array(labels, type=arrow_type), block, row_id)
-        part = df.select(row_id, vector).mapInArrow(scan, schema)
-        parts.append(part.withColumn("__block", F.lit(number)))
+        whole = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
+        usable = F.when(whole, F.col(vector)).otherwise(F.array_repeat(F.lit(0.0), block.shape[1]))
+        parts.append(df.select(row_id, usable.alias(vector)).mapInArrow(scan, schema))
     if not parts:
         raise ValueError("no prototypes")
     if len(parts) == 1:
-        return parts[0].drop("__block")
+        return parts[0]
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    rank = F.struct("similarity", -F.col("__block"))
+    # Most similar first, then the first label; a block without any match comes last.
+    rank = F.struct(-F.coalesce("similarity", F.lit(-2.0)), "predicted")
     return found.groupBy(row_id).agg(
-        F.max_by("predicted", rank).alias("predicted"), F.max("similarity").alias("similarity")
+        F.min_by("predicted", rank).alias("predicted"), F.max("similarity").alias("similarity")
     )
 
 
@@ -193,7 +223,7 @@ def _best_cosine(labels: pa.Array, block: np.ndarray, row_id: str):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            rows = _matrix(batch.column(1))
+            rows = _matrix(batch.column(1), block.shape[1])
             length = np.linalg.norm(rows, axis=1)
             scores = rows @ unit.T / np.where(length > 0, length, 1.0)[:, None]
             scores[:, dead] = -np.inf

@@ -75,42 +75,71 @@ def online_elo(votes: DataFrame, k: float = K_FACTOR, start: float = START_RATIN
 
 
 class MajorityProcessor(StatefulProcessor):
-    """Counts per answer of one item until an answer has more than half of all samples."""
+    """Counts per answer of one item until an answer has more than half of all samples.
+
+    All state of an item goes when its last sample has arrived. With ``idle_ms`` an item
+    without new samples for that long is emitted undecided, if it is, and forgotten.
+    """
+
+    def __init__(self, idle_ms: int | None = None):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.counts = handle.getMapState("counts", "answer string", "n long")
-        self.seen = handle.getValueState("seen", "n long, done boolean")
+        self.seen = handle.getValueState("seen", "arrived long, done boolean")
+
+    def _row(self, key, answer, used) -> pd.DataFrame:
+        final = pd.Series([answer], dtype=object)
+        return pd.DataFrame({"item": [key[0]], "final_answer": final, "n_used": [used]})
+
+    def _wait(self, timerValues, stay: bool) -> None:
+        """One timer an item: the old one goes, a new one starts if the item stays."""
+        if self.idle_ms is None:
+            return
+        for expiry in list(self.handle.listTimers()):
+            self.handle.deleteTimer(expiry)
+        if stay:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        seen, done = self.seen.get() if self.seen.exists() else (0, False)
+        arrived, done = self.seen.get() if self.seen.exists() else (0, False)
         samples = pd.concat(list(rows)).sort_values("sample_idx", kind="stable")
         counts: dict[str, int] = {}
         result = None
+        total = None
         for answer, total in zip(samples["answer"], samples["num_samples"]):
+            arrived += 1
             if done:
-                break
+                continue
             if answer not in counts:
                 held = self.counts.containsKey((answer,))
                 counts[answer] = self.counts.getValue((answer,))[0] if held else 0
             counts[answer] += 1
-            seen += 1
             if counts[answer] * 2 > total:
-                result, done = (key[0], answer, seen), True
-            elif seen == total:
-                result, done = (key[0], None, seen), True
-        for answer, n in counts.items():
-            self.counts.updateValue((answer,), (int(n),))
+                result, done = (answer, arrived), True
+            elif arrived == total:
+                result, done = (None, arrived), True
+        complete = total is not None and arrived >= total
+        if complete:
+            self.seen.clear()
+        else:
+            self.seen.update((int(arrived), bool(done)))
         if done:
             self.counts.clear()
-        self.seen.update((int(seen), bool(done)))
+        else:
+            for answer, n in counts.items():
+                self.counts.updateValue((answer,), (int(n),))
+        self._wait(timerValues, stay=not complete)
         if result is not None:
-            yield pd.DataFrame(
-                {
-                    "item": [result[0]],
-                    "final_answer": pd.Series([result[1]], dtype=object),
-                    "n_used": [result[2]],
-                }
-            )
+            yield self._row(key, *result)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        arrived, done = self.seen.get() if self.seen.exists() else (0, True)
+        self.seen.clear()
+        self.counts.clear()
+        if not done:
+            yield self._row(key, None, int(arrived))
 
     def close(self) -> None:
         pass
@@ -119,16 +148,17 @@ class MajorityProcessor(StatefulProcessor):
 MAJORITY_SCHEMA = "item long, final_answer string, n_used long"
 
 
-def online_majority(samples: DataFrame) -> DataFrame:
+def online_majority(samples: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """ST4: emit an item once, when an answer passes half of ``num_samples``.
 
-    Items whose samples run out without a majority are emitted with a NULL answer. Only
-    open items keep counts in the state.
+    Items whose samples run out without a majority are emitted with a NULL answer, as are
+    items that got no sample for ``idle_ms``. Items keep state only until their last sample
+    or that timer; counts only until they are decided.
     """
     use_keyed_state(samples.sparkSession)
     return samples.groupBy("item").transformWithStateInPandas(
-        statefulProcessor=MajorityProcessor(),
+        statefulProcessor=MajorityProcessor(idle_ms),
         outputStructType=MAJORITY_SCHEMA,
         outputMode="Append",
-        timeMode="None",
+        timeMode="None" if idle_ms is None else "ProcessingTime",
     )

@@ -250,3 +250,60 @@ def test_split_takes_exactly_n_rows_of_repeated_ids(spark):
         train, valid = train_validation_split(df, "k", n)
         assert valid.count() == n and train.count() == 6 - n
         assert sorted(r.v for r in train.unionAll(valid).collect()) == list("abcdef")
+
+
+def test_nearest_with_missing_equal_and_split_vectors(spark, monkeypatch):
+    import numpy as np
+
+    from answerloom.operators import vectors
+
+    rng = np.random.default_rng(1)
+    points = np.concatenate([rng.standard_normal((60, 3)) + 1e4, np.tile(np.array([[1e4, 1e4, 1e4]]), (8, 1))])
+    rows = [(i, p.tolist()) for i, p in enumerate(points)] + [(900, None), (901, [1.0, None, 2.0])]
+    base = spark.createDataFrame(rows, "vec_id int, embedding array<double>").repartition(4)
+    queries = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points[:10])] + [(77, None)], "query_id int, embedding array<double>")
+    want = {}
+    for q in range(10):
+        d = ((points - points[q]) ** 2).sum(axis=1)
+        want[q] = np.lexsort((np.arange(len(d)), d))[:4].tolist()
+    for size in (vectors.BLOCK_BYTES, 50):
+        monkeypatch.setattr(vectors, "BLOCK_BYTES", size)
+        got = vectors.nearest(base, queries, 4).orderBy("query_id", "rank").collect()
+        assert {q: [r.vec_id for r in got if r.query_id == q] for q in want} == want and len(got) == 40
+    import pytest
+
+    with pytest.raises(Exception, match="not of length 3"):
+        vectors.nearest(base.unionAll(base.limit(1).selectExpr("vec_id", "array(1.0D)")), queries, 4).count()
+
+
+def test_multi_reward_advantage_is_two_normalisations(spark):
+    import numpy as np
+
+    from answerloom.operators.rollouts import STD_GUARD, multi_reward_advantage
+
+    rng = np.random.default_rng(9)
+    rows = [(g, float(a), float(b)) for g in (1, 2) for a, b in rng.integers(0, 3, (6, 2))]
+    rows += [(3, 1.0, 1.0), (None, 0.0, 1.0), (None, 1.0, 0.5), (4, 1.0, 2.0), (4, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "prompt_id int, x double, y double")
+    got = sorted((tuple(r) for r in multi_reward_advantage(df, {"x": 1.0, "y": 0.5}).collect()), key=str)
+    want = []
+    for g in {r[0] for r in rows}:
+        mine = np.array([r[1:] for r in rows if r[0] == g])
+        if len(mine) == 1:
+            want += [(g, *mine[0].tolist(), None)]
+            continue
+        norm = (mine - mine.mean(axis=0)) / (mine.std(axis=0, ddof=1) + STD_GUARD)
+        total = norm @ np.array([1.0, 0.5])
+        final = (total - total.mean()) / (total.std(ddof=1) + STD_GUARD)
+        want += [(g, *m, f) for m, f in zip(mine.tolist(), final.tolist(), strict=True)]
+    want = sorted(want, key=str)
+    assert [g[:3] for g in got] == [tuple(w[:3]) for w in want]
+    assert all(a == b or abs(a - b) < 1e-9 for a, b in zip([g[3] for g in got], [w[3] for w in want], strict=True))
+
+
+def test_distinct_counts_in_one_scan(spark):
+    from answerloom.operators.profiles import distinct_counts
+
+    df = spark.createDataFrame([(1, "a", None), (2, "a", None), (None, "b", None)], "x int, y string, z string")
+    out = distinct_counts(df, ["x", "y", "z"], threshold=1)
+    assert {r.column: (r.n, r.many) for r in out.collect()} == {"x": (2, True), "y": (2, True), "z": (0, False)}

@@ -59,3 +59,35 @@ def test_chunk_stream_runs_again_without_doubling(spark, tmp_path):
     assert run() == first
     arrive(spark.createDataFrame([("b", "z")], "file string, text string"), src)
     assert run() == sorted([*first, ("b", 0, "z")])
+
+
+def test_majority_state_goes_with_the_last_sample(spark, tmp_path):
+    import time
+
+    schema = "item long, sample_idx long, answer string, num_samples long"
+    rows = [(1, s, "x", 3) for s in range(3)] + [(2, s, "xy"[s], 3) for s in range(2)]
+    samples = spark.createDataFrame(rows, schema)
+    src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    states.use_keyed_state(spark)
+    for low in range(3):
+        arrive(samples.where(F.col("sample_idx") == low), src)
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    # Timers need a query that goes on: an available-now one would wait for them for ever.
+    query = jobs.write_batches(
+        states.online_majority(stream, idle_ms=500), out, state, trigger={"processingTime": "300 milliseconds"}
+    )
+    try:
+        deadline, got = time.time() + 60, []
+        while time.time() < deadline and len(got) < 2:
+            time.sleep(1)
+            try:
+                got = sorted((r.item, r.final_answer) for r in spark.read.schema("item long, final_answer string").parquet(out).collect())
+            except Exception:  # noqa: BLE001  nothing written yet, or a file just replaced
+                got = []
+        kept = [op.get("numRowsTotal") for p in query.recentProgress for op in p["stateOperators"]]
+    finally:
+        query.stop()
+    # The second item never gets its third sample: its timer gives it back undecided.
+    assert got == [(1, "x"), (2, None)]
+    assert max(kept) > 0 and kept[-1] == 0
