@@ -112,16 +112,35 @@ def final_candidate(text: Column | str, fallback: str | None = "number_then_full
 
 
 def normalize_answer(text: Column | str) -> Column:
-    """Canonical text of an answer. Plain numbers skip the rewrites."""
+    """Canonical text of an answer.
+
+    Most answers need few of the rewrites: plain numbers and texts without any character
+    that a rewrite looks for need none, texts without a backslash none of those for LaTeX.
+    """
     raw = F.coalesce(col_of(text), F.lit(""))
-    out = strip(F.regexp_replace(raw, r"<\|[^>]+?\|>", ""))
-    for pattern, replacement in ANSWER_REWRITES:
-        out = F.regexp_replace(out, pattern, replacement)
-    out = F.translate(out, SUPERSCRIPTS, SUPERSCRIPTS_PLAIN)
-    for pattern, replacement in ANSWER_REWRITES_AFTER_SUPERSCRIPTS:
-        out = F.regexp_replace(out, pattern, replacement)
+
+    def rewritten(rules_before, rules_after) -> Column:
+        out = strip(F.regexp_replace(raw, r"<\|[^>]+?\|>", ""))
+        for pattern, replacement in rules_before:
+            out = F.regexp_replace(out, pattern, replacement)
+        out = F.translate(out, SUPERSCRIPTS, SUPERSCRIPTS_PLAIN)
+        for pattern, replacement in rules_after:
+            out = F.regexp_replace(out, pattern, replacement)
+        return F.lower(strip(out))
+
+    def without_latex(rules):
+        # A rule that needs a backslash cannot match; alternatives may do without one.
+        return [r for r in rules if r"\\" not in r[0] or "|" in r[0]]
+
+    every = ANSWER_REWRITES, ANSWER_REWRITES_AFTER_SUPERSCRIPTS
     plain = raw.rlike(r"^-?\d+(\.\d+)?\z")
-    return F.when(plain, raw).otherwise(F.lower(strip(out)))
+    simple = ~raw.rlike(rf"[\\^{{}}$%°·×,.:<{SUPERSCRIPTS}]|\d\s+\d")
+    return (
+        F.when(plain, raw)
+        .when(simple, F.lower(strip(raw)))
+        .when(~raw.contains("\\"), rewritten(*map(without_latex, every)))
+        .otherwise(rewritten(*every))
+    )
 
 
 def answer_parts(text: Column | str) -> Column:
