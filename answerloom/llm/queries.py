@@ -139,4 +139,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+#: SQL exists where neither a checksum nor a model nor merges are in the way.
+ORACLES: dict[str, str] = {
+    "op3_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents),
+          g AS (SELECT doc_id, i, array_to_string(a[i:i+12], ' ') AS s
+            FROM (SELECT doc_id, a, unnest(range(1, len(a) - 11)) AS i FROM w)),
+          f AS (SELECT s, min(doc_id) AS low FROM g GROUP BY s),
+          gone AS (SELECT DISTINCT doc_id, i + k AS j FROM (
+            SELECT doc_id, i, unnest(range(13)) AS k FROM g JOIN f USING (s) WHERE low < doc_id)),
+          l AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id)
+        SELECT doc_id, CAST(len(a) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed,
+          sha256(coalesce(array_to_string(list_filter(a, lambda x, j: js IS NULL OR NOT list_contains(js, j)), ' '), ''))
+            AS kept_sha256
+        FROM w LEFT JOIN l USING (doc_id)""",
+    "op7_embedding_dedup": """
+        WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+          links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+          reach AS (SELECT vec_id AS node, vec_id AS other FROM e
+            UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.other),
+          n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+        SELECT e.vec_id AS vec_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_links, min(other) AS component_id,
+          e.vec_id = min(other) AS kept
+        FROM reach LEFT JOIN n ON n.vec_id = reach.node JOIN e ON e.vec_id = reach.node GROUP BY e.vec_id""",
+}

@@ -160,3 +160,11 @@ def test_bpe(spark, texts):
         ids = whole.encode(texts[r.doc_id], add_special_tokens=False).ids
         decoded = whole.decode(ids, skip_special_tokens=False)
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(decoded))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql_twin(spark, name):
+    from answerloom.catalog.registry import Entry
+    from oracle import compare
+
+    assert compare(spark, Entry(queries.QUERIES[name], queries.ORACLES[name]), FOLDER) is None
