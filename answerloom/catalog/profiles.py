@@ -213,6 +213,19 @@ def _(t):
     return O.chart_line(t.orders, [F.col("o_orderdate"), F.col("o_orderkey")], "o_totalprice")
 
 
+@query(
+    "d8_chart_timeline_unlabelled",
+    """SELECT strftime(o_orderdate, '%Y-%m-%d') AS start, strftime(o_orderdate, '%Y-%m-%d') AS "end",
+         '' || (row_number() OVER (ORDER BY o_orderdate, o_totalprice, o_orderkey) - 1) AS label,
+         NULL::VARCHAR AS "group", '' || (row_number() OVER (ORDER BY o_orderdate, o_totalprice, o_orderkey) - 1)
+         AS colour FROM orders""",
+)
+def _(t):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    rows = t.orders.select(day.alias("start"), day.alias("end"), "o_totalprice", "o_orderkey")
+    return O.chart_timeline(rows, [F.col("start"), F.col("o_totalprice"), F.col("o_orderkey")])
+
+
 @query(
     "d8_chart_timeline",
     """SELECT strftime(o_orderdate, '%Y-%m-%d') AS start, strftime(o_orderdate + INTERVAL 3 DAY, '%Y-%m-%d')

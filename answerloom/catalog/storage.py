@@ -232,12 +232,22 @@ def _(t):
     "s14_delete_file",
     """SELECT 't2' AS thread_id, 'suppliers.csv' AS file_name, count(*) AS row_count FROM supplier
        UNION ALL SELECT 't1', 'customers.csv', count(*) FROM customer
-       UNION ALL SELECT 't2', '' || item_id, 0 FROM benchmark""",
+       UNION ALL SELECT 't2', '' || item_id, 0 FROM benchmark
+       UNION ALL SELECT thread_id, 'vectors of ' || file_name, count(*) FROM (
+         SELECT 't' || (label % 2 + 1) AS thread_id,
+           CASE WHEN vec_id % 3 = 0 THEN 'suppliers.csv' ELSE 'customers.csv' END AS file_name FROM embeddings)
+       WHERE NOT (thread_id = 't1' AND file_name = 'suppliers.csv') GROUP BY ALL""",
 )
 def _(t):
-    path = _stored(t)
-    S.delete_file(t.spark, [path], "t1", "suppliers.csv")
-    return S.stored_files(t.spark, path).select("thread_id", "file_name", "row_count")
+    path, vectors = _stored(t), scratch_path(t.spark, "file-vectors")
+    thread = F.concat(F.lit("t"), (F.col("label") % 2 + 1).cast("string"))
+    name = F.when(F.col("vec_id") % 3 == 0, "suppliers.csv").otherwise("customers.csv")
+    rows = t.embeddings.select("vec_id", "embedding", thread.alias("thread_id"), name.alias("file_name"))
+    rows.write.partitionBy("thread_id").parquet(vectors)
+    S.delete_file(t.spark, [path, vectors], "t1", "suppliers.csv")
+    left = t.spark.read.parquet(vectors).groupBy("thread_id", "file_name").agg(F.count("*").alias("row_count"))
+    left = left.withColumn("file_name", F.concat(F.lit("vectors of "), "file_name"))
+    return S.stored_files(t.spark, path).select("thread_id", "file_name", "row_count").unionByName(left)
 
 
 @query(

@@ -296,14 +296,22 @@ TIMELINE_ROLES: dict[str, list[str]] = {
 }
 
 
-def chart_timeline(df: DataFrame) -> DataFrame:
-    """Label, start, end, group and colour columns, found by header words."""
-    found = {
-        role: next((h for h in df.columns if any(w in h.lower() for w in words)), None)
-        for role, words in TIMELINE_ROLES.items()
-    }
+def chart_timeline(df: DataFrame, order: Sequence[Column] = ()) -> DataFrame:
+    """Label, start, end, group and colour columns, found by header words.
+
+    The leftmost header that holds one of a role's words plays it. Without a label column
+    the label is the row's place in ``order`` (by default: start, then end), counted from 0.
+    """
+    headers = [(place, h, h.lower()) for place, h in enumerate(df.columns)]
+    found = {}
+    for role, words in TIMELINE_ROLES.items():
+        fitting = [(place, h) for place, h, low in headers if any(map(low.count, words))]
+        found[role] = min(fitting)[1] if fitting else None
     if not found["start"] or not found["end"]:
         raise ValueError("no start and end columns for a timeline")
+    if not found["label"]:
+        found["label"] = "__place"
+        df = global_positions(df, [*order] or [F.col(found["start"]), F.col(found["end"])], "__place")
     found["colour"] = found["colour"] or found["label"]
     return df.select(
         *[

@@ -79,16 +79,17 @@ def group_positions(
     keys: Sequence[str],
     order: Sequence[Column],
     name: str = "pos",
-    max_window_rows: int = MAX_WINDOW_ROWS,
+    max_window_rows: int | None = MAX_WINDOW_ROWS,
 ) -> DataFrame:
     """0-based rank inside each group.
 
     Groups that all fit in one task use a window. Otherwise rows are ranked globally by
-    (keys, order) and the group's first rank is subtracted.
+    (keys, order) and the group's first rank is subtracted. Finding out costs one pass over
+    the keys; a caller who knows that groups are small passes ``None`` and saves it.
     """
     if not keys:
         return global_positions(df, order, name)
-    if largest_group(df, keys) <= max_window_rows:
+    if max_window_rows is None or largest_group(df, keys) <= max_window_rows:
         window = W.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(window) - 1).cast("long"))
     ranked = global_positions(df, [*[F.col(k).asc() for k in keys], *order], "__gpos")

@@ -99,7 +99,11 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Write next to the target, then swap by rename, so readers never see a half-written set."""
+    """Write next to the target, then swap by two renames.
+
+    Readers never see a half-written set. Between the renames the target is missing for a
+    moment, and stores without atomic folder renames copy instead: swap there at a quiet time.
+    """
     spark = df.sparkSession
     mark = uuid.uuid4().hex
     staging, old = f"{path}.staging-{mark}", f"{path}.old-{mark}"
