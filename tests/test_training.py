@@ -134,12 +134,12 @@ def test_vectors(spark):
     protos = base.where("vec_id in (1, 2)").withColumnRenamed("vec_id", "label")
     out = {r.vec_id: r.predicted for r in vectors.nearest_prototype(base, protos).collect()}
     assert out == {0: 1, 1: 1, 2: 2, 3: None}
-    old = vectors.QUERY_BLOCK
+    old = vectors.BLOCK_BYTES
     try:
-        vectors.QUERY_BLOCK = 1
+        vectors.BLOCK_BYTES = 1
         split = {r.vec_id: r.predicted for r in vectors.nearest_prototype(base, protos).collect()}
         many = base.withColumnRenamed("vec_id", "query_id")
         rows = vectors.nearest(base, many, 1).collect()
     finally:
-        vectors.QUERY_BLOCK = old
+        vectors.BLOCK_BYTES = old
     assert split == out and {(r.query_id, r.vec_id) for r in rows} == {(i, i) for i in range(4)}
