@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from answerloom.llm import near_copies
 from answerloom.llm.common import fresh, id_and_text, slices, stored
 from answerloom.llm.components import connected_components
 
@@ -137,14 +138,21 @@ def fingerprint_hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id.
+def keep_representatives(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = near_copies.SHINGLE_WORDS,
+    similarity: float = near_copies.SIMILARITY,
+) -> DataFrame:
+    """``docs`` without the rows whose component of near copies has a smaller id.
 
-    One id stays of each component. Rows that repeat that id stay together (they are one
-    document), and rows without an id stay because nothing can name them. All columns of
-    ``docs`` are returned as they are.
+    Near copies share ``similarity`` of their ``width``-word shingles, which is counted on both
+    texts; fingerprints play no part. One id stays of each component. Rows that repeat that id
+    stay together (they are one document), and rows without an id stay because nothing can name
+    them. All columns of ``docs`` are returned as they are.
     """
-    groups = simhash_groups(docs, id_col, text_col)
+    groups = near_copies.near_copy_groups(docs, id_col, text_col, width, similarity)
     mark = fresh(docs, "dropped_id")
     gone = groups.where("doc_id > component_id").select(F.col("doc_id").alias(mark)).distinct()
     return docs.join(gone, docs[id_col] == gone[mark], "left_anti")
