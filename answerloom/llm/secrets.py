@@ -31,7 +31,17 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
 #: What the novelty test looks at.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.\-@])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=\-@])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=\-@])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=\-@])")
+MIN_CHARS = 16
+_JOINED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"
+#: Name and value, or the parts of a value, around inner equal signs; padding stays with its value.
+_PIECE = re.compile(r"[^=]+(?:=+$)?")
+#: What may stand between lines of one value: line ends, also written as escapes, and quotes.
+_BREAK = re.compile(r"""["'+,;]*[ \t]*(?:\r?\n|\\)[\s"'+,;\\]*""")
+_MORE_LINES = re.compile(rf"\A(?:{_BREAK.pattern}[A-Za-z0-9+/=]{{{MIN_CHARS},}})+(?:{_BREAK.pattern}[A-Za-z0-9+/=]*\Z)?")
+_HUMP = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*KEY[A-Z0-9 ]*-----((?:(?!-----).)*)-----END", re.DOTALL)
+_PEM_LINE = re.compile(r"^[ \t]*([A-Za-z0-9+/=]+)[ \t\r]*$", re.MULTILINE)
 SENSITIVE = re.compile(
     r"api|auth|bearer|cert|cipher|credential|hmac|key|pass|private|pwd|salt|secret|sign|token", re.I
 )
@@ -75,6 +85,15 @@ wrapper write xml yaml yield zone
 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 xxxxxxxxxxxxxxxx
 """
 
+#: Letters as often as in prose: beside them a word costs what its letters cost, however little
+#: text is around it. Put before candidates without a digit.
+PROSE = (
+    "dun seravit hole ni trasego umbelt ari conse deilat worthen pli gesto unreld ockham bevrin "
+    "tia luesco nadfer ympa hindrel esco vati jorlen quasi delm ostinare frebuk helga tissor enwa "
+    "pomard elik shutin rever zandil oma creth ueltas ingor deasi brenfo lacht iminer sutelo rand "
+    "vorin xelma taden. Gresh ilun otepa Sirend malo wech tursin eadel oni Brasken thoul ferim. "
+)
+
 
 @functools.cache
 def _compressor() -> zstandard.ZstdCompressor:
@@ -91,9 +110,27 @@ def novelty(before: str, candidate: str, after: str) -> float:
     return (len(size((before + after + candidate).encode())) - known) / max(1, len(candidate))
 
 
-def _varied(candidate: str) -> bool:
-    """Digits and letters both: a word, however rare, is no key."""
-    return any(c.isdigit() for c in candidate) and any(c.isalpha() for c in candidate)
+def _meets(span: tuple[int, int, int], spans: list[tuple[int, int, int]]) -> bool:
+    return any(s < span[2] and span[0] < e for s, _, e in spans)
+
+
+def _is_novel(text: str, start: int, end: int, min_share: float, carried: bool) -> bool:
+    """Measured beside its surroundings, which must not be other parts or lines of its value."""
+    before, after = text[max(0, start - AROUND_CHARS) : start], text[end : end + AROUND_CHARS]
+    if carried:
+        before = ""
+    elif before.endswith("."):
+        before = before.rstrip(_JOINED)
+    if after.startswith("."):
+        after = after.lstrip(_JOINED)
+    after = _MORE_LINES.sub("", after)
+    word = text[start:end]
+    if not any(c.isdigit() for c in word):
+        before = PROSE + before
+        humps = _HUMP.findall(word)
+        if sum(map(len, humps)) >= 4 * len(humps):
+            word = word.lower()  # capitals that only begin or make up words are no news
+    return novelty(before, word, after) >= min_share
 
 
 def find_spans(text: str | None, min_share: float = MIN_SHARE) -> list[tuple[int, int, int]]:
@@ -106,17 +143,44 @@ def find_spans(text: str | None, min_share: float = MIN_SHARE) -> list[tuple[int
     for kind, pattern in ((1, _ACCESS), (2, _HEX)):
         spans += [(m.start(), kind, m.end()) for m in pattern.finditer(text)]
     spans.sort()
+    found = [
+        (block.start(1) + m.start(1), 3, block.start(1) + m.end(1))
+        for block in _PEM.finditer(text) for m in _PEM_LINE.finditer(block.group(1))
+    ]
+    found = [f for f in found if not _meets(f, spans)]
+    spans = sorted(spans + found)
     found = []
+    last = (-1, False, False)  # end of the candidate before, whether it was sensitive, reported
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        beside = text[max(0, start - BESIDE_CHARS) : start]
-        if not _varied(m.group()) or not SENSITIVE.search(beside):
-            continue
-        if any(s < end and start < e for s, _, e in spans):
-            continue
-        before = text[max(0, start - AROUND_CHARS) : start]
-        if novelty(before, m.group(), text[end : end + AROUND_CHARS]) >= min_share:
-            found.append((start, 3, end))
+        dotted = start > 0 and text[start - 1] == "."
+        if dotted and last[0] == start - 1:
+            carried = last[1]
+        elif dotted:
+            low = max(0, start - AROUND_CHARS)
+            begin = low + len(text[low:start].rstrip(_JOINED))
+            if begin > 0 and text[begin - 1] == "@":
+                continue
+            carried = bool(SENSITIVE.search(text[max(0, begin - BESIDE_CHARS) : start]))
+        else:
+            carried = last[2] and _BREAK.fullmatch(text, last[0], start) is not None
+        pieces = [(start + p.start(), start + p.end()) for p in _PIECE.finditer(m.group())]
+        sensitive, new = carried, []
+        # Values behind their names first; a candidate without one is measured whole.
+        for part in [*pieces, (start, end)] if len(pieces) > 1 else [(start, end)]:
+            if part[1] - part[0] < MIN_CHARS or new and part == (start, end):
+                continue
+            # A name before the value counts whole, however long it is.
+            beside = text[max(0, min(start, part[0] - BESIDE_CHARS)) : part[0]] if part[0] > start else (
+                text[max(0, start - BESIDE_CHARS) : start]
+            )
+            if not carried and not SENSITIVE.search(beside):
+                continue
+            sensitive = True
+            if _is_novel(text, *part, min_share, carried) and not _meets((part[0], 3, part[1]), spans):
+                new.append((part[0], 3, part[1]))
+        found += new
+        last = (end, sensitive, bool(new))
     return sorted(spans + found)
 
 

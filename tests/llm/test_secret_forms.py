@@ -1,0 +1,48 @@
+"""Secrets in common forms."""
+
+import random
+import string
+
+from answerloom.llm import secrets
+
+LETTERS = string.ascii_letters
+BASE64 = LETTERS + string.digits + "+/"
+
+
+def drawn(n, seed, signs=BASE64):
+    return "".join(random.Random(seed).choices(signs, k=n))
+
+
+def found(text):
+    return [text[s:e] for s, kind, e in secrets.find_spans(text) if kind == 3]
+
+
+def test_value_behind_its_name():
+    for i, form in enumerate(("AWS_SECRET_ACCESS_KEY={}", "PRIVATE_KEY={}", "https://host/x?auth={}&page=2", "export MY_KEY={}==\n")):
+        key = drawn(40, i, LETTERS + string.digits)
+        assert found(form.format(key)) == [key + "==" * ("==" in form)]
+    assert found("AWS_SECRET_ACCESS_KEY=configuration_default_value") == []
+
+
+def test_key_block_goes_whole():
+    lines = [drawn(64, 10 + i) for i in range(20)] + ["Ab3x=="]
+    for header in ("", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,none\n\n"):
+        text = f"-----BEGIN RSA PRIVATE KEY-----\n{header}" + "\n".join(lines) + "\n-----END RSA PRIVATE KEY-----\nPlain words."
+        assert found(text) == lines
+    bare = "the key:\n" + "\n  ".join(lines[:-1]) + "\nafterwards nothing"
+    assert found(bare) == lines[:-1]
+
+
+def test_parts_joined_by_dots():
+    parts = ["eyJ" + drawn(33, 40), drawn(300, 41), drawn(43, 42)]
+    assert found(f"Authorization: Bearer {'.'.join(parts)} end") == parts
+    assert found(f"api SG.{parts[0]}.{parts[2]}") == [parts[0], parts[2]]
+    assert found("bearer john.longpersonalname42@mail.internationalhost77.example") == []
+
+
+def test_share_decides_without_digits():
+    for seed in range(20):
+        key = drawn(32, seed, LETTERS)
+        assert found(f"the auth key is {key} here") == [key]
+    for word in ("internationalization", "Geschwindigkeitsbegrenzung", "getAuthenticationTokenFromHeader", "MAX_RETRY_COUNT_LIMIT", "constitutionnellement"):
+        assert found(f"the auth key is {word} here") == []
