@@ -7,7 +7,8 @@ hits are counted by item and by diagonal band. Bands are twice as wide as they a
 every match is whole in one of them. A band that meets the item's bound is aligned within
 its band, and reported if the edit budget holds.
 
-Only the items travel. Their size is checked; documents are neither shuffled nor cut.
+Only the items travel, in blocks of a checked size, each with a scan of its own; documents are
+neither shuffled nor cut.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerloom.llm.common import bounded_batches, fresh, id_and_text
+from answerloom.llm.common import bounded_batches, fresh, id_and_text, stored
 
 Q = 8
 #: Share of an item's length that may differ.
 MAX_EDITS = 0.08
-#: A benchmark of more characters is refused; it goes in parts of this size.
+#: Characters of items that one scan takes; a larger benchmark is dealt to several scans.
 MAX_ITEM_CHARS = 20_000_000
+#: Hash parts for each block, so that blocks can be filled evenly.
+PARTS = 64
 CHUNK_CHARS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
@@ -105,12 +108,17 @@ class ItemIndex:
         self.shift = np.array([max(3, int(2 * k).bit_length()) for k in self.edits], dtype=np.int64)
         grams = [_grams(c) for _, c in self.items] or [np.zeros(0, dtype=np.uint64)]
         values = np.concatenate(grams)
-        owner = np.repeat(np.arange(len(self.items)), [len(g) for g in grams][: len(self.items)])
-        offset = np.concatenate([np.arange(len(g)) for g in grams])
+        owner = np.repeat(np.arange(len(self.items), dtype=np.int32), [len(g) for g in grams][: len(self.items)])
+        offset = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams])
+        del grams
         order = np.argsort(values, kind="stable")
         self.owner, self.offset = owner[order], offset[order]
-        self.values, first, self.count = np.unique(values[order], return_index=True, return_counts=True)
-        self.first = first
+        values = values[order]
+        del owner, offset, order
+        new = np.ones(len(values), dtype=bool)
+        new[1:] = values[1:] != values[:-1]
+        self.first = np.flatnonzero(new)
+        self.values, self.count = values[self.first], np.diff(np.append(self.first, len(values)))
         self.bitmap = np.zeros(1 << _BITS, dtype=bool)
         self.bitmap[self.values >> np.uint64(64 - _BITS)] = True
 
@@ -213,24 +221,40 @@ def _find(region: np.ndarray, item: np.ndarray) -> int:
     return at // 4 if at >= 0 else -1
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _index(items: tuple[tuple[object, str], ...]) -> ItemIndex:
     return ItemIndex(list(items))
 
 
-def collect_items(
-    benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text"
-) -> tuple[tuple[object, str], ...]:
-    """The benchmark as (item, text); refused beyond ``MAX_ITEM_CHARS`` characters.
+def item_blocks(
+    benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", most: int | None = None
+) -> list[tuple[tuple[object, str], ...]]:
+    """The benchmark as blocks of (item, text) of at most ``most`` characters each.
 
-    Null texts and texts shorter than one q-gram cannot be found and are left out.
+    Items are dealt by hash to parts, and parts fill blocks; a part of more characters, such as
+    one very long item, is a block of its own. One block at least, which may be empty. Null texts
+    and texts shorter than one q-gram cannot be found and are left out.
     """
+    most = most or MAX_ITEM_CHARS
     rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
     rows = rows.where(F.length("text") >= Q)
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if size > MAX_ITEM_CHARS:
-        raise ValueError(f"{size} characters of items; search in parts of {MAX_ITEM_CHARS}")
-    return tuple(sorted(((r["item"], r["text"]) for r in rows.collect()), key=lambda x: (str(x[0]), x[1])))
+    groups: list[list[int] | None] = [None]
+    part = F.pmod(F.xxhash64("item", "text"), F.lit(PARTS * -(-size // most) or 1))
+    if size > most:
+        sizes = rows.groupBy(part.alias("part")).agg(F.sum(F.length("text")).alias("size")).collect()
+        groups, room = [], 0
+        for r in sorted(sizes, key=lambda r: r["part"]):
+            if not groups or r["size"] > room:
+                groups.append([])
+                room = most
+            groups[-1].append(r["part"])
+            room -= r["size"]
+    blocks = []
+    for group in groups:
+        mine = rows if group is None else rows.where(part.isin(group))
+        blocks.append(tuple(sorted(((r["item"], r["text"]) for r in mine.collect()), key=lambda x: (str(x[0]), x[1]))))
+    return blocks
 
 
 def benchmark_matches(
@@ -245,15 +269,16 @@ def benchmark_matches(
 
     Case and the kind of blank do not count. Positions are code points of the document, end
     exclusive; of overlapping places of one item the one with fewest edits is reported.
-    Null and short texts hold no match; repeated rows give repeated matches.
+    Null and short texts hold no match; repeated rows give repeated matches. A benchmark of more
+    than ``MAX_ITEM_CHARS`` characters takes one scan of the documents for each block of it.
     """
     rows = id_and_text(docs, id_col, text_col)
     kind = dict(rows.dtypes)["doc_id"]
-    items = collect_items(benchmark, item_col, item_text)
+    blocks = item_blocks(benchmark, item_col, item_text)
     item_kind = dict(benchmark.dtypes)[item_col]
     names = ["doc_id", "item_id", "start_pos", "end_pos", "edits"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], items: tuple[tuple[object, str], ...]) -> Iterator[pa.RecordBatch]:
         index = _index(items)
         for batch in batches:
             found = index.matches(batch.column("text").to_pylist())
@@ -264,7 +289,8 @@ def benchmark_matches(
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(where), item, *numbers], names)
 
     kinds = f"doc_id {kind}, item_id {'bigint' if item_kind == 'int' else item_kind}, start_pos int, end_pos int, edits int"
-    return rows.mapInArrow(run, kinds)
+    found = [rows.mapInArrow(functools.partial(run, items=items), kinds) for items in blocks]
+    return functools.reduce(DataFrame.unionAll, found)
 
 
 def drop_contaminated(
@@ -274,15 +300,24 @@ def drop_contaminated(
     item_col: str = "item_id",
     item_text: str = "text",
 ) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark passage; columns stay as they are."""
+    """``docs`` without the rows that hold a benchmark passage; columns stay as they are.
+
+    Between the blocks of a large benchmark the rows are written, so that a task holds one index.
+    """
     bounded_batches(docs.sparkSession)
-    items = collect_items(benchmark, item_col, item_text)
+    mark = fresh(docs, "passages")
+    for turn, items in enumerate(item_blocks(benchmark, item_col, item_text)):
+        hits = _hits(items)
+        docs = stored(docs, "clean") if turn else docs
+        docs = docs.withColumn(mark, hits(F.col(text_col))).where(F.col(mark) == 0).drop(mark)
+    return docs
 
+
+def _hits(items: tuple[tuple[object, str], ...]):
     @F.pandas_udf("int")
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index = _index(items)
         for texts in batches:
             yield pd.Series([len(m) for m in index.matches(texts.tolist())], dtype="int32")
 
-    mark = fresh(docs, "passages")
-    return docs.withColumn(mark, hits(F.col(text_col))).where(F.col(mark) == 0).drop(mark)
+    return hits
