@@ -153,6 +153,9 @@ def keep_representatives(
     them. All columns of ``docs`` are returned as they are.
     """
     groups = near_copies.near_copy_groups(docs, id_col, text_col, width, similarity)
-    mark = fresh(docs, "dropped_id")
-    gone = groups.where("doc_id > component_id").select(F.col("doc_id").alias(mark)).distinct()
-    return docs.join(gone, docs[id_col] == gone[mark], "left_anti")
+    names = fresh(docs, "dropped_id"), fresh(docs, "dropped_text")
+    gone = groups.where("doc_id > component_id").select(
+        F.col("doc_id").alias(names[0]), F.xxhash64("text").alias(names[1])
+    )
+    same = F.xxhash64(docs[text_col].cast("string")) == F.col(names[1])
+    return docs.join(gone.distinct(), (docs[id_col] == F.col(names[0])) & same, "left_anti")
