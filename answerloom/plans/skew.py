@@ -101,6 +101,7 @@ _COMBINE = {
     "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
     "max": (F.max, lambda a, b: F.greatest(a, b)),
     "min": (F.min, lambda a, b: F.least(a, b)),
+    "xor": (F.bit_xor, lambda a, b: a.bitwiseXOR(F.coalesce(b, F.lit(0)))),
 }
 
 
@@ -112,7 +113,7 @@ def running(
     exclusive: bool = False,
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """Running sum / max / min over a dense position, one bounded segment per task.
+    """Running sum / max / min / xor over a dense position, one bounded segment per task.
 
     ``pos`` is an integer order column that is unique inside a group; ``pos div
     segment_rows`` is the segment. Each segment is scanned alone; totals of the earlier
