@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerloom.llm import (
-    bpe, decontaminate, embeddings, language, quality, secrets, sharding, simhash, substrings,
-    token_store,
+    bpe, decontaminate, embeddings, language, negatives, quality, secrets, sharding, simhash,
+    substrings, suffixes, token_store, turn_tries,
 )
 from answerloom.llm.common import held_out, table
 from answerloom.session import scratch_path
@@ -126,6 +126,26 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = negatives.whole_vectors(table(spark, folder, "embeddings"), "vec_id", "embedding", moved)
+    return negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+def op12_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = suffixes.remove_repeated_strings(table(spark, folder, "documents"))
+    length = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["first"])
+    return cut.select(
+        "doc_id", "n_bytes", length.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_tries.rebuilt_conversation_nodes(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality": op2_quality,
@@ -137,6 +157,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_language_id": op9_language_id,
     "op10_bpe": op10_bpe,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 #: SQL exists where neither a checksum nor a model nor merges are in the way.
