@@ -87,11 +87,11 @@ def _expanded(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class _Chunk:
     """Pieces of the documents of one chunk; the same ones each time it is built."""
 
-    def __init__(self, texts: list[bytes | None], length: int):
+    def __init__(self, texts: list[bytes], length: int):
         self.length = length
-        sizes = np.array([len(t or b"") for t in texts], dtype=np.int64)
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.bounds = np.concatenate([[0], np.cumsum(sizes)])
-        self.buffer = b"".join(t or b"" for t in texts)
+        self.buffer = b"".join(texts)
         self.data = np.frombuffer(self.buffer, dtype=np.uint8)
         edge = np.zeros(len(self.data) + 1, dtype=np.int8)
         whole = sizes >= length
@@ -182,8 +182,11 @@ def _dealt(value: np.ndarray, buckets: int) -> np.ndarray:
     return ((_mixed(value) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _texts(table: pa.Table) -> list[bytes | None]:
-    return table.column("text").cast(pa.binary()).to_pylist()
+def _ordered(table: pa.Table) -> tuple[pa.Table, list[bytes]]:
+    """The rows by text, and their texts: rows arrive in any order, pieces must not depend on it."""
+    texts = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    return table.take(pa.array(order, pa.int64())), [texts[i] for i in order]
 
 
 def _table(kinds: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
@@ -195,7 +198,7 @@ def _send_keys(length: int, buckets: int):
     kinds = {"bucket": pa.int64(), "chunk": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
 
     def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        chunk = _Chunk(_texts(table), length)
+        chunk = _Chunk(_ordered(table)[1], length)
         count = np.minimum(chunk.n_pieces, 32767) * 2 + (chunk.times > 1)
         rows = [
             (b, key[0].as_py(), chunk.keys[mine].tobytes(), count[mine].astype("<u2").tobytes())
@@ -251,7 +254,7 @@ def _send_pieces(length: int, buckets: int, piece_buckets: int):
     def send(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not answers.num_rows:
             return _table(_PIECES, [])
-        chunk = _Chunk(_texts(docs), length)
+        chunk = _Chunk(_ordered(docs)[1], length)
         verdict = _verdicts(chunk, answers, buckets)
         rows = {}
         mine = np.flatnonzero(verdict == _REPEATED)
@@ -379,9 +382,9 @@ def _cut(length: int, buckets: int, piece_buckets: int):
         return marked
 
     def cut(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = _texts(docs)
+        docs, texts = _ordered(docs)
         removed: list[list] = [[] for _ in texts]
-        kept = [t or b"" for t in texts]
+        kept = list(texts)
         if answers.num_rows:
             chunk = _Chunk(texts, length)
             starts = np.flatnonzero(repeated(chunk, answers))
@@ -400,7 +403,7 @@ def _cut(length: int, buckets: int, piece_buckets: int):
                 begins = [*(a for a, _ in spans), len(kept[d])]
                 kept[d] = b"".join(kept[d][a:z] for a, z in zip(ends, begins, strict=True))
         kinds = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())]))
-        sizes = pa.array([len(t or b"") for t in texts], pa.int64())
+        sizes = pa.array([len(t) for t in texts], pa.int64())
         columns = [docs.column("doc_id"), sizes, pa.array(removed, kinds), pa.array(kept, pa.binary())]
         return pa.table(columns, names=["doc_id", "n_bytes", "removed", "kept"])
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +139,19 @@ def test_repeated_strings_small(spark, length, hot):
     assert suffixes.remove_repeated_strings(docs.limit(0), length=length).count() == 0
 
 
+def test_pieces_do_not_depend_on_the_order_of_rows():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdef ") for _ in range(rng.randrange(3000))) for _ in range(80)]
+    made = []
+    for _ in range(3):
+        rng.shuffle(texts)
+        table, ordered = suffixes._ordered(pa.table({"doc_id": list(range(80)), "text": texts}))
+        assert table.column("text").to_pylist() == [t.decode() for t in ordered]
+        chunk = suffixes._Chunk(ordered, 200)
+        made.append((chunk.start.tolist(), chunk.key.tolist(), chunk.digest.tolist()))
+    assert made[0] == made[1] == made[2]
+
+
 def test_repeated_string_over_chunks(spark, monkeypatch):
     """Many chunks and buckets, repeats across block borders, one very long text."""
     rng = random.Random(1)
