@@ -155,7 +155,8 @@ def keep_representatives(
     groups = near_copies.near_copy_groups(docs, id_col, text_col, width, similarity)
     names = fresh(docs, "dropped_id"), fresh(docs, "dropped_text")
     gone = groups.where("doc_id > component_id").select(
-        F.col("doc_id").alias(names[0]), F.xxhash64("text").alias(names[1])
+        F.col("doc_id").alias(names[0]), F.col("text_hash").alias(names[1])
     )
+    gone = near_copies.checked(stored(gone.distinct(), "gone"))
     same = F.xxhash64(docs[text_col].cast("string")) == F.col(names[1])
-    return docs.join(gone.distinct(), (docs[id_col] == F.col(names[0])) & same, "left_anti")
+    return docs.join(gone, (docs[id_col] == F.col(names[0])) & same, "left_anti")
