@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from answerloom.catalog.registry import query
+from answerloom.catalog.registry import matching_sql, query
 from answerloom.operators import filters as R
 from answerloom.operators import joins as O
 from answerloom.plans import views as V
@@ -77,13 +77,16 @@ def _dictionary_sql() -> str:
 
 @query(
     "j5_resolve_headers",
-    f"""WITH {_dictionary_sql()}, h AS (SELECT conv_id AS file, role AS header, min(turn) AS pos,
+    matching_sql(
+        f"""WITH {_dictionary_sql()} SELECT DISTINCT replace(lower(x), ' ', '') AS a0, word AS b0 FROM syn, (
+              SELECT unnest(string_split(p_name, ' ')) AS x FROM part UNION SELECT role FROM conversations)"""
+    )
+    + f""", {_dictionary_sql()}, h AS (SELECT conv_id AS file, role AS header, min(turn) AS pos,
           replace(lower(role), ' ', '') AS name FROM (SELECT p_partkey AS conv_id, i AS turn,
             string_split(p_name, ' ')[i] AS role FROM (SELECT *, unnest(range(1, 1 + len(string_split(p_name, ' '))))
             AS i FROM part) UNION ALL SELECT conv_id, turn + 100, role FROM conversations) GROUP BY conv_id, role),
-        s AS (SELECT file, target, header, pos, bool_or(contains(name, word)) AS contained,
-          max(1 - levenshtein(name, word) / greatest(length(name), length(word))) AS score
-          FROM h, syn GROUP BY ALL)
+        s AS (SELECT file, target, header, pos, bool_or(contains(name, word)) AS contained, max(score) AS score
+          FROM h, syn, ratio WHERE a0 = name AND b0 = word GROUP BY ALL)
         SELECT file, target, header FROM s QUALIFY row_number() OVER (PARTITION BY file, target ORDER BY
           contained DESC, CASE WHEN contained THEN 1.0 ELSE score END DESC, pos) = 1
           AND (contained OR score >= 0.6)""",
@@ -101,16 +104,17 @@ _MESSAGE = "average economic promo parts"
 
 @query(
     "j6_best_header",
-    f"""WITH h AS (SELECT p_brand AS file, p_type AS header, min(p_partkey) AS pos FROM part GROUP BY ALL),
+    matching_sql(f"SELECT DISTINCT p_type AS a0, unnest(string_split('{_MESSAGE}', ' ')) AS b0 FROM part")
+    + f""", h AS (SELECT p_brand AS file, p_type AS header, min(p_partkey) AS pos FROM part GROUP BY ALL),
         w AS (SELECT unnest(string_split('{_MESSAGE}', ' ')) AS word, unnest(range(1, 5)) AS i),
-        s AS (SELECT file, header, pos, contains('{_MESSAGE}', lower(header)) AS inside, i,
-          1 - levenshtein(replace(lower(header), ' ', ''), word)
-            / greatest(length(replace(header, ' ', '')), length(word)) AS score FROM h, w),
+        s AS (SELECT file, header, pos, contains('{_MESSAGE}', lower(header)) AS inside, i, score
+          FROM h, w, ratio WHERE a0 = header AND b0 = word),
         b AS (SELECT file, header, pos, inside, min(i) FILTER (WHERE score >= 0.6) AS hit FROM s GROUP BY ALL),
         r AS (SELECT b.*, CASE WHEN b.inside THEN 0 WHEN hit IS NOT NULL THEN 1 ELSE 2 END AS tier, s.score
           FROM b LEFT JOIN s ON s.file = b.file AND s.header = b.header AND s.i = b.hit)
         SELECT file, header, CAST(tier AS INTEGER) AS tier FROM r QUALIFY row_number() OVER (PARTITION BY file
-          ORDER BY tier, CASE WHEN tier = 1 THEN hit ELSE 0 END, CASE WHEN tier = 1 THEN -score ELSE 0 END, pos) = 1""",
+          ORDER BY tier, CASE WHEN tier = 1 THEN hit ELSE 0 END, CASE WHEN tier = 1 THEN -score ELSE 0 END,
+            CASE WHEN tier = 1 THEN header ELSE '' END DESC, pos) = 1""",
 )
 def _(t):
     headers = t.part.groupBy(F.col("p_brand").alias("file"), F.col("p_type").alias("header"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from answerloom.catalog.registry import TABLE_NAMES, query
+from answerloom.catalog.registry import matching_sql, TABLE_NAMES, query
 from answerloom.functions import text as X
 from answerloom.functions.common import round6
 from answerloom.operators import filters as R
@@ -276,9 +276,9 @@ def _(t):
 
 @query(
     "x14_similarity",
-    """SELECT p_partkey, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) + 0.0 AS score
-       FROM (SELECT p_partkey, replace(lower(p_name), ' ', '') AS a,
-         replace(lower(p_type), ' ', '') AS b FROM part)""",
+    matching_sql("SELECT DISTINCT replace(lower(p_name), ' ', '') AS a0, replace(lower(p_type), ' ', '') AS b0 FROM part")
+    + """ SELECT p_partkey, round(score, 6) + 0.0 AS score FROM part JOIN ratio
+        ON a0 = replace(lower(p_name), ' ', '') AND b0 = replace(lower(p_type), ' ', '')""",
 )
 def _(t):
     return t.part.select("p_partkey", round6(X.similarity("p_name", "p_type")).alias("score"))

@@ -72,11 +72,84 @@ def canonical_name(text: Column | str) -> Column:
     return F.replace(F.lower(strip(col_of(text))), F.lit(" "), F.lit(""))
 
 
+def longest_block(a: Column, b: Column) -> Column:
+    """(start, n): the longest piece of ``a`` that occurs in ``b``, the first one of several.
+
+    One walk over ``a``: as long as a piece longer than the best so far starts here, the best
+    grows by a character; otherwise the start moves on.
+    """
+    none = F.struct(F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit(0).alias("n"))
+
+    def step(state: Column, _: Column) -> Column:
+        longer = state["n"] + 1
+        fits = state["at"] + longer <= F.length(a)
+        found = fits & (F.position(F.substr(a, state["at"] + 1, longer), b) > 0)
+        return F.when(
+            found, F.struct(state["at"].alias("at"), state["at"].alias("start"), longer.alias("n"))
+        ).otherwise(F.struct((state["at"] + 1).alias("at"), state["start"].alias("start"), state["n"].alias("n")))
+
+    steps = F.sequence(F.lit(1), F.length(a) + F.least(F.length(a), F.length(b)))
+    return F.aggregate(steps, none, step)
+
+
+def matched_characters(a: Column, b: Column) -> Column:
+    """Characters in matching blocks: the longest one, then those left and right of it, and so on.
+
+    Every round cuts all open pairs of pieces at their longest block; a round matches one
+    character at least on every path, so the shorter text bounds their number.
+    """
+    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+    start = F.struct(F.array(pair(a, b)).alias("open"), F.lit(0).alias("matched"))
+
+    def cut(piece: Column) -> Column:
+        return let(
+            longest_block(piece["a"], piece["b"]),
+            lambda m: let(
+                F.position(F.substr(piece["a"], m["start"] + 1, m["n"]), piece["b"]) - 1,
+                lambda at: F.struct(
+                    m["n"].alias("n"),
+                    F.array(
+                        pair(F.substr(piece["a"], F.lit(1), m["start"]), F.substr(piece["b"], F.lit(1), at)),
+                        pair(F.substr(piece["a"], m["start"] + m["n"] + 1), F.substr(piece["b"], at + m["n"] + 1)),
+                    ).alias("rest"),
+                ),
+            ),
+        )
+
+    def both(piece: Column) -> Column:
+        return (F.length(piece["a"]) > 0) & (F.length(piece["b"]) > 0)
+
+    def round_of(state: Column, _: Column) -> Column:
+        blocks = F.filter(F.transform(F.filter(state["open"], both), cut), lambda m: m["n"] > 0)
+        following = let(
+            blocks,
+            lambda found: F.struct(
+                F.flatten(F.transform(found, lambda m: m["rest"])).alias("open"),
+                F.aggregate(found, state["matched"], lambda n, m: n + m["n"]).alias("matched"),
+            ),
+        )
+        return F.when(F.size(state["open"]) == 0, state).otherwise(following)
+
+    rounds = F.sequence(F.lit(0), F.least(F.length(a), F.length(b)))
+    return F.aggregate(rounds, start, round_of, lambda state: state["matched"])
+
+
+def matching_ratio(a: Column | str, b: Column | str) -> Column:
+    """Twice the characters in matching blocks over the characters of both texts, 0 to 1.
+
+    Every character counts, however frequent; two empty texts are equal; NULL gives NULL. The
+    order of the texts matters, as the first of several longest blocks is taken.
+    """
+    both = F.struct(col_of(a).alias("a"), col_of(b).alias("b"))
+    ratio = lambda x: F.when(x["a"] == x["b"], F.lit(1.0)).otherwise(
+        2.0 * matched_characters(x["a"], x["b"]) / (F.length(x["a"]) + F.length(x["b"]))
+    )
+    return let(both, lambda x: F.when(x["a"].isNotNull() & x["b"].isNotNull(), ratio(x)))
+
+
 def similarity(a: Column | str, b: Column | str) -> Column:
-    """1 - edit distance / longer length, after lower-casing and dropping spaces."""
-    left, right = canonical_name(a), canonical_name(b)
-    longest = F.greatest(F.length(left), F.length(right))
-    return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(left, right) / longest)
+    """The matching ratio after trimming, lower-casing and dropping spaces."""
+    return matching_ratio(canonical_name(a), canonical_name(b))
 
 
 def text_chunks(text: Column | str, size: int = 1000, overlap: int = 100) -> Column:
