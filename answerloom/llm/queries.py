@@ -176,6 +176,21 @@ ORACLES: dict[str, str] = {
           sha256(coalesce(array_to_string(list_filter(a, lambda x, j: js IS NULL OR NOT list_contains(js, j)), ' '), ''))
             AS kept_sha256
         FROM w LEFT JOIN l USING (doc_id)""",
+    "op11_hard_negatives": """
+        WITH e AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+          FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+          s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+              CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+            FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+          p AS (SELECT anchor_id, id, score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+          n AS (SELECT anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score,
+              s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, p.id ORDER BY s.score DESC, s.id) AS r
+            FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+        SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score
+        FROM n WHERE r <= 5""",
     "op7_embedding_dedup": """
         WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
           links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id
