@@ -340,9 +340,8 @@ def _(t):
 )
 def _(t):
     # The first ten slices are the documented behaviour of the summary split.
-    pieces = F.posexplode(X.text_chunks("text", 4000, 0)).alias("pos", "piece")
-    cut = t.documents.select("doc_id", pieces).where(F.col("pos") < 10)
-    return cut.withColumn("pos", F.col("pos").cast("long"))
+    pieces = F.posexplode(X.text_slices("text", 4000, limit=10)).alias("pos", "piece")
+    return t.documents.select("doc_id", pieces).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(

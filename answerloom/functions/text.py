@@ -163,6 +163,12 @@ def text_chunks(text: Column | str, size: int = 1000, overlap: int = 100) -> Col
     return F.regexp_extract_all(col_of(text), F.lit(pattern), F.lit(1))
 
 
+def text_slices(text: Column | str, size: int = 4000, limit: int | None = None) -> Column:
+    """Pieces of ``size`` characters without overlap; ``limit`` keeps the first ones only."""
+    pieces = text_chunks(text, size, 0)
+    return pieces if limit is None else F.slice(pieces, 1, limit)
+
+
 def token_count(text: Column | str) -> Column:
     """Number of tokens."""
     return F.regexp_count(col_of(text), F.lit(TOKEN)).cast("long")
