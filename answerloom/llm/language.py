@@ -3,7 +3,9 @@
 The pieces of a public vocabulary have a probability in each language. The score of a word
 is the sum, over all ways to cut it into pieces, of the product of their probabilities; a
 forward pass computes it in one step a character. A text's log-likelihood is the sum over
-its words. Different words are scored once a worker, many at a time.
+its words. Different words are scored once a worker, many of one length at a time; a word of
+over ``LONG_WORD`` characters goes alone, with the same sum, its lattice made block by block.
+Words are lower-cased, so cased pieces of the vocabulary take no part; any length of piece does.
 
 The probabilities are expected counts over the training texts: each word's segmentations
 weighted under the vocabulary's own order (a piece of rank r starts with weight 1/(r+10)).
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 
 from answerloom.llm.common import id_and_text, slices
 
-MAX_PIECE = 12
-WORD_CHARS = 64
+#: Longer words are scored one by one, in the same way; nothing is cut.
+LONG_WORD = 64
+#: Characters of a long word whose pieces are looked up at once.
+LONG_BLOCK = 256
 SMOOTHING = 0.5
 #: Log-likelihoods grow with the text; the score is judged at this share of a character.
 SHARPNESS = 0.25
@@ -51,7 +55,8 @@ class Pieces:
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))
         ]
         pieces = [model.id_to_piece(i) for i in usual]
-        chosen = [(p, i) for p, i in zip(pieces, usual, strict=True) if 0 < len(p) <= MAX_PIECE]
+        chosen = [(p, i) for p, i in zip(pieces, usual, strict=True) if p]
+        self.longest = max(len(p) for p, _ in chosen)
         self.count = len(chosen) + 1  # the last one is any single character without a piece
         codes = np.zeros(len(chosen), dtype=np.uint64)
         for k, (piece, _) in enumerate(chosen):
@@ -81,7 +86,7 @@ class Pieces:
         steps: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(n + 1)]
         for start in range(n):
             raw = np.full(len(chars), 14695981039346656037, dtype=np.uint64)
-            for stop in range(start + 1, min(n, start + MAX_PIECE) + 1):
+            for stop in range(start + 1, min(n, start + self.longest) + 1):
                 raw = (raw ^ chars[:, stop - 1]) * _BASE
                 piece = self.find(raw ^ (raw >> np.uint64(32)))
                 if stop == start + 1:
@@ -90,6 +95,34 @@ class Pieces:
                     steps[stop].append((start, piece))
         return steps, n
 
+    def beginning(self, chars: np.ndarray, low: int, high: int) -> np.ndarray:
+        """(high - low, longest): the piece of each length that begins at each place, or -1."""
+        found = np.full((high - low, self.longest), -1, dtype=np.int64)
+        raw = np.full(high - low, 14695981039346656037, dtype=np.uint64)
+        for size in range(1, self.longest + 1):
+            rows = min(high, len(chars) - size + 1) - low
+            if rows <= 0:
+                break
+            raw = (raw[:rows] ^ chars[low + size - 1 : low + size - 1 + rows]) * _BASE
+            found[:rows, size - 1] = self.find(raw ^ (raw >> np.uint64(32)))
+        found[:, 0] = np.where(found[:, 0] < 0, self.count - 1, found[:, 0])
+        return found
+
+    def by_end(self, chars: np.ndarray) -> Iterator[np.ndarray]:
+        """Blocks of (ends, longest): the pieces that stop at each end, ends ascending."""
+        sizes = np.arange(1, self.longest + 1)
+        for done in range(0, len(chars), LONG_BLOCK):
+            high = min(len(chars), done + LONG_BLOCK)
+            low = max(0, done + 1 - self.longest)
+            starts = np.arange(done + 1, high + 1)[:, None] - sizes
+            found = self.beginning(chars, low, high)
+            yield np.where(starts >= 0, found[np.maximum(starts, low) - low, sizes - 1], -1)
+
+    def by_start(self, chars: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Blocks of (first place, pieces beginning at each place), blocks from the last one on."""
+        for low in reversed(range(0, len(chars), LONG_BLOCK)):
+            yield low, self.beginning(chars, low, min(len(chars), low + LONG_BLOCK))
+
 
 def forward(steps, n: int, chance: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Log of the summed segmentations (words, languages); forward values and their scales.
@@ -128,6 +161,59 @@ def expected_counts(pieces: Pieces, words: list[str], weights: np.ndarray, chanc
     return counts[:-1]
 
 
+def chained(blocks, chance: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+    """Log sums over all segmentations up to each place of one word, a value for each language.
+
+    ``blocks`` has a row of pieces by length for each place; only the last ``longest`` sums are held.
+    """
+    recent = np.zeros((longest, chance.shape[1]))  # newest first, divided by the newest
+    recent[0] = 1.0
+    deep = np.zeros(chance.shape[1])
+    for table in blocks:
+        for weights in chance[table]:
+            value = (recent * weights).sum(axis=0)
+            top = np.maximum(value, 1e-300)
+            recent[1:] = recent[:-1] / top
+            recent[0] = value / top
+            deep = deep + np.log(top)
+            yield deep
+
+
+def _chars(word: str) -> np.ndarray:
+    return np.frombuffer(word.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+
+
+def long_forward(pieces: Pieces, word: str, chance: np.ndarray) -> np.ndarray:
+    """``forward``'s sum for one word of any length, in memory that does not grow with it."""
+    total = np.zeros(chance.shape[1])
+    for total in chained(pieces.by_end(_chars(word)), chance, pieces.longest):
+        pass
+    return total
+
+
+def long_counts(pieces: Pieces, word: str, weight: float, chance: np.ndarray) -> np.ndarray:
+    """``expected_counts`` for one word of any length; two numbers a character are held."""
+    chars = _chars(word)
+    n = len(chars)
+    ahead = np.zeros(n + 1)
+    for at, value in enumerate(chained(pieces.by_end(chars), chance, pieces.longest), 1):
+        ahead[at] = value[0]
+    behind = np.full(n + pieces.longest, -np.inf)
+    behind[n] = 0.0
+    back = chained((found[::-1] for _, found in pieces.by_start(chars)), chance, pieces.longest)
+    for at, value in enumerate(back, 1):
+        behind[n - at] = value[0]
+    counts = np.zeros(pieces.count + 1)
+    log_chance = np.log(np.maximum(chance[:, 0], 1e-300))
+    log_chance[-1] = -np.inf
+    for low, found in pieces.by_start(chars):
+        places = np.arange(low, low + len(found))[:, None]
+        after = behind[places + np.arange(1, pieces.longest + 1)]
+        shares = np.exp(ahead[places] + log_chance[found] + after - ahead[n]) * weight
+        np.add.at(counts, found, shares)
+    return counts[:-1]
+
+
 @functools.lru_cache(maxsize=2)
 def pieces_of(path: str) -> Pieces:
     return Pieces(path)
@@ -137,16 +223,19 @@ def _words(text: bytes | None) -> list[bytes]:
     return (text or b"").split()
 
 
-def _parts(word: bytes) -> list[str]:
-    """A word in lower case behind the word mark, in lengths a forward pass takes."""
-    text = _START + word.decode().lower()
-    return [text[i : i + WORD_CHARS] for i in range(0, len(text), WORD_CHARS)]
+def _marked(word: bytes) -> str:
+    """A word in lower case behind the word mark."""
+    return _START + word.decode().lower()
 
 
 def _by_length(words: list[tuple[str, int]]) -> Iterator[tuple[list[str], list[int]]]:
+    """Words of one length together, a long word alone, each with its number."""
     groups: dict[int, list[tuple[str, int]]] = {}
     for word in words:
-        groups.setdefault(len(word[0]), []).append(word)
+        if len(word[0]) > LONG_WORD:
+            yield [word[0]], [word[1]]
+        else:
+            groups.setdefault(len(word[0]), []).append(word)
     for group in groups.values():
         for at in range(0, len(group), BATCH_WORDS):
             part = group[at : at + BATCH_WORDS]
@@ -178,17 +267,20 @@ def count_pieces(labelled: DataFrame, path: str, text_col: str = "text", lang_co
 
         def settle(lang: str) -> None:
             counted = words.pop(lang)
-            parts = [(p, n) for w, n in counted.items() for p in _parts(w)]
             mine = sums.setdefault(lang, np.zeros(pieces.count))
-            for group, weights in _by_length(parts):
-                mine += expected_counts(pieces, group, np.array(weights, dtype=float), chance)
+            for group, weights in _by_length([(_marked(w), n) for w, n in counted.items()]):
+                if len(group[0]) > LONG_WORD:
+                    mine += long_counts(pieces, group[0], weights[0], chance)
+                else:
+                    mine += expected_counts(pieces, group, np.array(weights, dtype=float), chance)
 
         for batch in slices(batches, "text", BATCH_BYTES):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             for lang, text in zip(batch.column("lang").to_pylist(), texts, strict=True):
                 words.setdefault(lang, Counter()).update(_words(text))
-            for lang in [k for k, c in words.items() if len(c) > KNOWN_WORDS]:
-                settle(lang)
+            if sum(map(len, words.values())) > KNOWN_WORDS:
+                for lang in list(words):
+                    settle(lang)
         for lang in list(words):
             settle(lang)
         for lang, counts in sums.items():
@@ -207,7 +299,8 @@ def fit_language(
     """Piece probabilities of every language in ``labelled``.
 
     What reaches the driver is one number per language and vocabulary piece. Labels beyond
-    ``most_languages`` different values are refused: they are not languages.
+    ``most_languages`` different values are refused: they are not languages. An empty table
+    gives a model without languages.
     """
     counts = count_pieces(labelled, path, text_col, lang_col)
     known = labelled.select(F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL").distinct()
@@ -232,14 +325,13 @@ class _Scorer:
 
     def learn(self, words: list[bytes]) -> None:
         first = len(self.known)
-        parts = []
-        for k, word in enumerate(words):
-            self.known[word] = first + k
-            parts += [(p, k) for p in _parts(word)]
+        self.known.update((word, first + k) for k, word in enumerate(words))
         scores = np.zeros((len(words), self.chance.shape[1]))
-        for group, at in _by_length(parts):
-            steps, n = self.pieces.lattice(group)
-            np.add.at(scores, at, forward(steps, n, self.chance)[0])
+        for group, at in _by_length([(_marked(word), k) for k, word in enumerate(words)]):
+            if len(group[0]) > LONG_WORD:
+                scores[at[0]] = long_forward(self.pieces, group[0], self.chance)
+            else:
+                scores[at] = forward(*self.pieces.lattice(group), self.chance)[0]
         self.scores = np.vstack([self.scores, scores])
 
     def texts(self, texts: list[bytes | None]) -> np.ndarray:
@@ -264,6 +356,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     ``score`` is the language's share of the softened likelihoods. A text that is null or
     has no letter is ``und`` with score 0, as is every text if no language was learned.
+    Repeated rows are answered each; texts and words of any length are scored whole.
     Ties go to the language that comes first by name.
     """
     rows = id_and_text(docs, id_col, text_col)

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -325,7 +326,7 @@ def test_forward_sums_every_segmentation():
     for word in ("▁the", "▁bridge", "▁żółw", "▁qqq"):
         place = {}
         for i in range(len(word)):
-            for j in range(i + 1, min(len(word), i + language.MAX_PIECE) + 1):
+            for j in range(i + 1, len(word) + 1):
                 code = pieces._codes(np.array([[ord(c) for c in word[i:j]]], dtype=np.uint64), 0, j - i)
                 k = int(pieces.find(code)[0])
                 place[i, j] = k if k >= 0 or j > i + 1 else pieces.count - 1
@@ -342,6 +343,35 @@ def test_forward_sums_every_segmentation():
         assert np.isclose(sum(counts[k] * lengths[k] for k in np.flatnonzero(counts)), len(word))
 
 
+def test_long_words_and_long_pieces(monkeypatch):
+    import sentencepiece
+
+    path = queries.tokenizer_file("piece_bpe_32k.model")
+    pieces = language.pieces_of(path)
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    known = {model.id_to_piece(i) for i in range(model.get_piece_size())}
+    assert pieces.longest == max(map(len, (k for k in known if not k.startswith("<")))) > 12
+    chance = np.random.default_rng(4).random((pieces.count + 1, 3))
+    chance[-1] = 0.0
+    rng = random.Random(8)
+    words = ["▁" + "".join(rng.choices(sorted("abcdefghiżó漢"), k=k)) for k in (1, 2, 15, 16, 17, 64, 255, 256, 257, 700)]
+    words += ["▁internationalparticularly", "▁" + "responsibilities" * 20, "▁" + "a" * 600]
+    monkeypatch.setattr(language, "LONG_BLOCK", 40)
+    for word in words:
+        together = language.forward(*pieces.lattice([word]), chance)[0][0]
+        assert np.allclose(language.long_forward(pieces, word, chance), together)
+        first = chance[:, :1]
+        counts = language.expected_counts(pieces, [word], np.full(1, 2.5), first)
+        assert np.allclose(language.long_counts(pieces, word, 2.5, first), counts)
+    # The same model and answers, whether words count as long or not.
+    held = language._Scorer(language.LanguageModel(path, ("a", "b", "c"), np.log(chance[:-1].T)))
+    texts = [" ".join(words[i:]).encode() for i in range(len(words))]
+    one = held.texts(texts)
+    monkeypatch.setattr(language, "LONG_WORD", 3)
+    other = language._Scorer(language.LanguageModel(path, ("a", "b", "c"), np.log(chance[:-1].T))).texts(texts)
+    assert np.allclose(one, other)
+
+
 def test_bpe(docs, nothing):
     path = queries.tokenizer_file("word_bpe_49k.json")
     whole = pytest.importorskip("tokenizers").Tokenizer.from_file(path)
