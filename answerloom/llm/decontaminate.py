@@ -5,7 +5,8 @@ its q-grams with the passage that holds it (the q-gram lemma), and all of them l
 ``k`` diagonals of each other. Every q-gram of a document that some item has is looked up;
 hits are counted by item and by diagonal band. Bands are twice as wide as they are apart, so
 every match is whole in one of them. A band that meets the item's bound is aligned within
-its band, and reported if the edit budget holds.
+its band, and reported if the edit budget holds. Items shorter than one q-gram allow no edits;
+they are looked up whole, by their own length, in the same scan.
 
 Only the items travel, in blocks of a checked size, each with a scan of its own; documents are
 neither shuffled nor cut.
@@ -13,6 +14,7 @@ neither shuffled nor cut.
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Iterator
 
@@ -48,14 +50,14 @@ def plain_codes(text: str) -> np.ndarray:
     return np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-def _grams(codes: np.ndarray) -> np.ndarray:
-    """A 64-bit value for each q-gram."""
-    n = len(codes) - Q + 1
+def _grams(codes: np.ndarray, size: int = Q) -> np.ndarray:
+    """A 64-bit value for each run of ``size`` characters."""
+    n = len(codes) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     wide = codes.astype(np.uint64)
     out = wide[:n].copy()
-    for i in range(1, Q):
+    for i in range(1, size):
         out *= _BASE
         out += wide[i : i + n]
     out ^= out >> np.uint64(29)
@@ -94,12 +96,38 @@ def banded_distance(item: np.ndarray, region: np.ndarray, low: int, high: int, m
     return (int(row[at]), int(places[at])) if row[at] <= most else None
 
 
+class ShortItems:
+    """Items of one length below ``Q``: the different texts sorted by value, with their items."""
+
+    def __init__(self, items: list[tuple[object, np.ndarray]]):
+        self.keys: dict[bytes, list[object]] = {}
+        for key, codes in items:
+            self.keys.setdefault(codes.tobytes(), []).append(key)
+        self.size = len(items[0][1])
+        texts = [np.frombuffer(t, dtype="<u4") for t in self.keys]
+        self.values = np.unique(np.concatenate([_grams(t, self.size) for t in texts]))
+
+    def places(self, line: np.ndarray) -> Iterator[tuple[int, list[object]]]:
+        """(place, items) of every copy in ``line``; the characters themselves are compared."""
+        grams = _grams(line, self.size)
+        at = np.minimum(np.searchsorted(self.values, grams), len(self.values) - 1)
+        for place in np.flatnonzero(self.values[at] == grams).tolist():
+            keys = self.keys.get(line[place : place + self.size].tobytes())
+            if keys:
+                yield place, keys
+
+
 class ItemIndex:
     """q-grams of all items: a bitmap first, then sorted values with their postings."""
 
     def __init__(self, items: list[tuple[object, str]]):
         codes = [(key, plain_codes(text)) for key, text in items]
         self.items = [(key, c) for key, c in codes if len(c) >= Q]
+        short: dict[int, list[tuple[object, np.ndarray]]] = {}
+        for key, c in codes:
+            if 0 < len(c) < Q:
+                short.setdefault(len(c), []).append((key, c))
+        self.short = [ShortItems(group) for _, group in sorted(short.items())]
         lengths = np.array([len(c) for _, c in self.items], dtype=np.int64)
         self.lengths = lengths
         self.edits = np.array([budget(n) for n in lengths.tolist()], dtype=np.int64)
@@ -125,7 +153,7 @@ class ItemIndex:
     def matches(self, texts: list[str | None]) -> list[list[tuple[object, int, int, int]]]:
         """For each text the (item, start, end, edits) of every passage found."""
         found: list[list[tuple[object, int, int, int]]] = [[] for _ in texts]
-        if not self.items:
+        if not self.items and not self.short:
             return found
         held: list[tuple[int, np.ndarray]] = []
         size = 0
@@ -145,6 +173,25 @@ class ItemIndex:
         gap = np.array([_BREAK], dtype="<u4")
         line = np.concatenate([x for _, c in held for x in (c, gap)])
         starts = np.cumsum([0, *(len(c) + 1 for _, c in held)])
+        for short in self.short:
+            self._scan_short(short, line, starts, held, found)
+        if self.items:
+            self._scan_long(line, starts, held, found)
+        for i, _ in held:
+            found[i].sort(key=lambda x: (x[1], x[2], str(x[0])))
+
+    @staticmethod
+    def _scan_short(short: ShortItems, line, starts, held, found) -> None:
+        free: dict[tuple[int, object], int] = {}  # where the last copy of an item ended
+        for place, keys in short.places(line):
+            doc = int(np.searchsorted(starts, place, side="right")) - 1
+            start = place - int(starts[doc])
+            for key in keys:
+                if free.get((doc, key), 0) <= start:
+                    free[doc, key] = start + short.size
+                    found[held[doc][0]].append((key, start, start + short.size, 0))
+
+    def _scan_long(self, line, starts, held, found) -> None:
         grams = _grams(line)
         near = np.flatnonzero(self.bitmap[grams >> np.uint64(64 - _BITS)])
         at = np.minimum(np.searchsorted(self.values, grams[near]), len(self.values) - 1)
@@ -185,13 +232,15 @@ class ItemIndex:
                 start, end, edits = hit
                 matches[item, start, end] = min(edits, matches.get((item, start, end), edits))
         best: list[tuple[object, int, int, int]] = []
-        last: dict[int, int] = {}
+        taken: dict[int, list[tuple[int, int]]] = {}  # places of an item in order, none overlaps
         for (item, start, end), edits in sorted(matches.items(), key=lambda x: (x[1], x[0])):
-            if any(o == item and s < end and start < e for o, s, e in last):
+            mine = taken.setdefault(item, [])
+            at = bisect.bisect_left(mine, (end,))  # the places before it begin before this end
+            if at and mine[at - 1][1] > start:
                 continue
-            last[item, start, end] = 1
+            mine.insert(at, (start, end))
             best.append((self.items[item][0], start, end, edits))
-        return sorted(best, key=lambda x: (x[1], x[2], str(x[0])))
+        return best
 
     def _align(self, item: int, codes, low: int, high: int) -> tuple[int, int, int] | None:
         """Best place of an item between two diagonals: start, end and edits."""
@@ -228,16 +277,16 @@ def _index(items: tuple[tuple[object, str], ...]) -> ItemIndex:
 
 def item_blocks(
     benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", most: int | None = None
-) -> list[tuple[tuple[object, str], ...]]:
-    """The benchmark as blocks of (item, text) of at most ``most`` characters each.
+) -> Iterator[tuple[tuple[object, str], ...]]:
+    """The benchmark as blocks of (item, text) of at most ``most`` characters, one at a time.
 
     Items are dealt by hash to parts, and parts fill blocks; a part of more characters, such as
     one very long item, is a block of its own. One block at least, which may be empty. Null texts
-    and texts shorter than one q-gram cannot be found and are left out.
+    and texts of blanks alone are no passages and are left out.
     """
     most = most or MAX_ITEM_CHARS
     rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
-    rows = rows.where(F.length("text") >= Q)
+    rows = rows.where(F.col("text").rlike(r"[^\t-\r ]"))
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     groups: list[list[int] | None] = [None]
     part = F.pmod(F.xxhash64("item", "text"), F.lit(PARTS * -(-size // most) or 1))
@@ -250,11 +299,9 @@ def item_blocks(
                 room = most
             groups[-1].append(r["part"])
             room -= r["size"]
-    blocks = []
     for group in groups:
         mine = rows if group is None else rows.where(part.isin(group))
-        blocks.append(tuple(sorted(((r["item"], r["text"]) for r in mine.collect()), key=lambda x: (str(x[0]), x[1]))))
-    return blocks
+        yield tuple(sorted(((r["item"], r["text"]) for r in mine.collect()), key=lambda x: (str(x[0]), x[1])))
 
 
 def benchmark_matches(
@@ -269,12 +316,13 @@ def benchmark_matches(
 
     Case and the kind of blank do not count. Positions are code points of the document, end
     exclusive; of overlapping places of one item the one with fewest edits is reported.
-    Null and short texts hold no match; repeated rows give repeated matches. A benchmark of more
-    than ``MAX_ITEM_CHARS`` characters takes one scan of the documents for each block of it.
+    Items of fewer than ``Q`` characters match exact copies, from the left, without overlaps. Null
+    texts hold no match; repeated rows give repeated matches. A benchmark of more than
+    ``MAX_ITEM_CHARS`` characters takes one scan of the documents for each block of it, whose
+    matches are written before the next block is read.
     """
     rows = id_and_text(docs, id_col, text_col)
     kind = dict(rows.dtypes)["doc_id"]
-    blocks = item_blocks(benchmark, item_col, item_text)
     item_kind = dict(benchmark.dtypes)[item_col]
     names = ["doc_id", "item_id", "start_pos", "end_pos", "edits"]
 
@@ -289,7 +337,11 @@ def benchmark_matches(
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(where), item, *numbers], names)
 
     kinds = f"doc_id {kind}, item_id {'bigint' if item_kind == 'int' else item_kind}, start_pos int, end_pos int, edits int"
-    found = [rows.mapInArrow(functools.partial(run, items=items), kinds) for items in blocks]
+    blocks = item_blocks(benchmark, item_col, item_text)
+    items, found = next(blocks), []
+    while items is not None:
+        part, items = rows.mapInArrow(functools.partial(run, items=items), kinds), next(blocks, None)
+        found.append(stored(part, "passages") if found or items is not None else part)
     return functools.reduce(DataFrame.unionAll, found)
 
 
