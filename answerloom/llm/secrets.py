@@ -11,7 +11,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 import zstandard
@@ -40,7 +42,11 @@ _PIECE = re.compile(r"[^=]+(?:=+$)?")
 _BREAK = re.compile(r"""["'+,;]*[ \t]*(?:\r?\n|\\)[\s"'+,;\\]*""")
 _MORE_LINES = re.compile(rf"\A(?:{_BREAK.pattern}[A-Za-z0-9+/=]{{{MIN_CHARS},}})+(?:{_BREAK.pattern}[A-Za-z0-9+/=]*\Z)?")
 _HUMP = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*KEY[A-Z0-9 ]*-----((?:(?!-----).)*)-----END", re.DOTALL)
+_PEM = re.compile(
+    r"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE)[A-Z0-9 ]*)-----((?:(?!-----).)*)-----END", re.DOTALL
+)
+#: Blocks with these words in their heading are meant to be shown.
+_SHOWN = re.compile(r"PUBLIC|CERTIFICATE")
 _PEM_LINE = re.compile(r"^[ \t]*([A-Za-z0-9+/=]+)[ \t\r]*$", re.MULTILINE)
 SENSITIVE = re.compile(
     r"api|auth|bearer|cert|cipher|credential|hmac|key|pass|private|pwd|salt|secret|sign|token", re.I
@@ -48,6 +54,10 @@ SENSITIVE = re.compile(
 BESIDE_CHARS = 40
 AROUND_CHARS = 256
 MIN_SHARE = 0.7
+#: A string with more digits than this share is not made of words.
+WORD_DIGITS = 0.125
+_BETWEEN = re.compile(r"[/_-]")
+_NUMERIC = re.compile(r"[0-9TZ/_=+-]+")
 LEVEL = 19
 
 #: Words that code and settings are made of, as the compressor's dictionary.
@@ -82,17 +92,23 @@ test text thread throw timeout timestamp title token tool trace transaction tran
 undefined union unique unit update upload uri url user username utf8 uuid valid validate value
 variable vector verify version view void volume wait warning while width window worker workspace
 wrapper write xml yaml yield zone
+bin dist etc home lib opt packages python src tmp usr var
 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 xxxxxxxxxxxxxxxx
 """
 
 #: Letters as often as in prose: beside them a word costs what its letters cost, however little
-#: text is around it. Put before candidates without a digit.
+#: text is around it. Put before candidates with few digits or none.
 PROSE = (
     "dun seravit hole ni trasego umbelt ari conse deilat worthen pli gesto unreld ockham bevrin "
     "tia luesco nadfer ympa hindrel esco vati jorlen quasi delm ostinare frebuk helga tissor enwa "
     "pomard elik shutin rever zandil oma creth ueltas ingor deasi brenfo lacht iminer sutelo rand "
     "vorin xelma taden. Gresh ilun otepa Sirend malo wech tursin eadel oni Brasken thoul ferim. "
 )
+#: The same for dates and other numbers.
+NUMBERS = (
+    "2019-03-27T14:05:38Z 1998/11/02 07-41-56-120 2006_08_15 30294817 5560132 1875-90-64 "
+    "2031-12-09T22-53-17-483 4071268395 61-50-27 8349 2750 9163 08/04/72 "
+)
 
 
 @functools.cache
@@ -110,8 +126,16 @@ def novelty(before: str, candidate: str, after: str) -> float:
     return (len(size((before + after + candidate).encode())) - known) / max(1, len(candidate))
 
 
-def _meets(span: tuple[int, int, int], spans: list[tuple[int, int, int]]) -> bool:
-    return any(s < span[2] and span[0] < e for s, _, e in spans)
+def _meets(spans: list[tuple[int, int, int]]) -> Callable[[int, int], bool]:
+    """Whether a range meets any of the sorted ``spans``, which may overlap each other."""
+    starts = [s for s, _, _ in spans]
+    ends = list(accumulate((e for _, _, e in spans), max))
+
+    def meets(start: int, end: int) -> bool:
+        before = bisect_left(starts, end)
+        return before > 0 and ends[before - 1] > start
+
+    return meets
 
 
 def _is_novel(text: str, start: int, end: int, min_share: float, carried: bool) -> bool:
@@ -124,13 +148,41 @@ def _is_novel(text: str, start: int, end: int, min_share: float, carried: bool)
     if after.startswith("."):
         after = after.lstrip(_JOINED)
     after = _MORE_LINES.sub("", after)
-    word = text[start:end]
-    if not any(c.isdigit() for c in word):
+    return _share(before, text[start:end], after) >= min_share
+
+
+def _share(before: str, word: str, after: str) -> float:
+    """``novelty`` behind the prose or numbers that ``word`` would be made of if it were no secret."""
+    if _NUMERIC.fullmatch(word):
+        before = NUMBERS + before
+    elif sum(c.isdigit() for c in word) <= WORD_DIGITS * len(word):
         before = PROSE + before
         humps = _HUMP.findall(word)
         if sum(map(len, humps)) >= 4 * len(humps):
-            word = word.lower()  # capitals that only begin or make up words are no news
-    return novelty(before, word, after) >= min_share
+            # Capitals that only begin or make up words, and signs between words, are no news.
+            word = _BETWEEN.sub(" ", word.lower())
+    return novelty(before, word, after)
+
+
+def _key_blocks(text: str, min_share: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Novel lines of private key blocks, and the range of every key or certificate block.
+
+    A line is measured without its neighbours, which are parts of the same value. One of fewer
+    than ``MIN_CHARS`` characters, as the last one may be, is measured with the line above it.
+    """
+    lines, ranges = [], []
+    for block in _PEM.finditer(text):
+        ranges.append((block.start(2), 3, block.end(2)))
+        if _SHOWN.search(block.group(1)):
+            continue
+        above = ""
+        for m in _PEM_LINE.finditer(block.group(2)):
+            line = m.group(1)
+            whole = line if len(line) >= MIN_CHARS else above + line
+            above = whole if len(whole) >= MIN_CHARS and _share("", whole, "") >= min_share else ""
+            if above:
+                lines.append((block.start(2) + m.start(1), 3, block.start(2) + m.end(1)))
+    return lines, ranges
 
 
 def find_spans(text: str | None, min_share: float = MIN_SHARE) -> list[tuple[int, int, int]]:
@@ -143,16 +195,15 @@ def find_spans(text: str | None, min_share: float = MIN_SHARE) -> list[tuple[int
     for kind, pattern in ((1, _ACCESS), (2, _HEX)):
         spans += [(m.start(), kind, m.end()) for m in pattern.finditer(text)]
     spans.sort()
-    found = [
-        (block.start(1) + m.start(1), 3, block.start(1) + m.end(1))
-        for block in _PEM.finditer(text) for m in _PEM_LINE.finditer(block.group(1))
-    ]
-    found = [f for f in found if not _meets(f, spans)]
-    spans = sorted(spans + found)
-    found = []
+    meets = _meets(spans)
+    found, blocks = _key_blocks(text, min_share)
+    found = [f for f in found if not meets(f[0], f[2])]
+    decided = _meets(blocks)
     last = (-1, False, False)  # end of the candidate before, whether it was sensitive, reported
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
+        if decided(start, end):
+            continue
         dotted = start > 0 and text[start - 1] == "."
         if dotted and last[0] == start - 1:
             carried = last[1]
@@ -177,7 +228,7 @@ def find_spans(text: str | None, min_share: float = MIN_SHARE) -> list[tuple[int
             if not carried and not SENSITIVE.search(beside):
                 continue
             sensitive = True
-            if _is_novel(text, *part, min_share, carried) and not _meets((part[0], 3, part[1]), spans):
+            if _is_novel(text, *part, min_share, carried) and not meets(*part):
                 new.append((part[0], 3, part[1]))
         found += new
         last = (end, sensitive, bool(new))
@@ -237,6 +288,7 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``spans`` lists ``kind:start:end`` by start, then kind. A null text counts as empty and
     has no spans. Texts are never cut; no row meets another one, so nothing is shuffled.
+    Repeated rows are reported each; an empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.pandas_udf(_report, _REPORT)(text_col).alias("r"))
@@ -244,7 +296,11 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per secret: doc_id, kind, start, end, found (the string itself)."""
+    """One row per secret: doc_id, kind, start, end, found (the string itself).
+
+    Null and empty texts and empty tables give no rows, repeated rows their secrets each time;
+    texts of any length are read whole.
+    """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.pandas_udf(_found, _FOUND)(text_col)).alias("s"))
     return rows.select("doc_id", "s.*")
@@ -254,7 +310,8 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
     """``docs`` with every secret replaced by its kind in brackets; all rows stay.
 
     Overlapping spans become one replacement. ``length_col`` is set to the new length where
-    the table has such a column and the text has one. Null texts stay null.
+    the table has such a column and the text has one. Null texts stay null, repeated rows and
+    empty tables stay as they are.
     """
     bounded_batches(docs.sparkSession)
     new = fresh(docs, "redacted")
