@@ -1,4 +1,6 @@
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +91,49 @@ def test_objective_modes(spark):
     ppo = [r[0] for r in rows.select(rollouts.clipped_objective(F.col("adv"), F.col("ratio"), mode="ppo")).collect()]
     assert signed == pytest.approx([1.2, -1.2, -0.5, 0.5])
     assert ppo == pytest.approx([1.2, -2.0, -0.8, 0.5])
+
+
+def _stopped_by_hand(rows):
+    """Kept rows and vote of every item, sample by sample; rows without an index come first."""
+    kept, votes = [], []
+    for item in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == item), key=lambda r: (r[1] is not None, r[1] or 0))
+        seen, stop = Counter(), None
+        for _, idx, answer in mine:
+            seen[answer] += 1
+            if seen[answer] * 2 > len(mine):
+                stop = (idx is not None, idx or 0)
+                break
+        used = [r for r in mine if stop is None or (r[1] is not None, r[1] or 0) <= stop]
+        kept += used
+        counts = Counter(r[2] for r in used)
+        top = max(counts.values())
+        best = [a for a, n in counts.items() if n == top]
+        votes.append((item, len(used), top, len(best), best[0] if len(best) == 1 else None))
+    return kept, votes
+
+
+@pytest.mark.parametrize("segment_rows", [2, 1000])
+def test_early_stop_by_candidate(spark, segment_rows):
+    rng = random.Random(segment_rows)
+    rows = []
+    for item in [*range(40), None]:
+        answers = rng.choice([["a", "b", None], ["a"], ["a", "a", "a", "b", "c"]])
+        for i in range(rng.randrange(1, 25)):
+            idx = rng.choice([i, i, i, i // 2, None if item in (3, 4) else i, -i])
+            rows.append((item, idx, rng.choice(answers)))
+    df = spark.createDataFrame(rows, "item int, sample_idx int, answer string")
+    kept, votes = _stopped_by_hand(rows)
+    got = voting.samples_until_majority(df, segment_rows=segment_rows)
+    assert Counter(map(tuple, got.collect())) == Counter(kept)
+    vote = voting.early_stopped_vote(df, segment_rows=segment_rows).drop("first_answer")
+    assert Counter(map(tuple, vote.collect())) == Counter(votes)
+
+
+def test_early_stop_windows_see_few_rows(spark):
+    """One item of 20,000 samples: only one segment of the winning answer's indexes is added up."""
+    df = spark.range(20000).select(
+        F.lit(1).alias("item"), F.col("id").alias("sample_idx"), F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("answer")
+    )
+    vote = voting.early_stopped_vote(df, segment_rows=100).first()
+    assert (vote.n_samples, vote.top_count, vote.final_answer) == (15002, 10001, "a")
