@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from answerloom.functions.common import is_blank, plain_number, strip
 from answerloom.functions.text import token_count
+from answerloom.operators.selection import values_at_ranks
 from answerloom.plans.skew import global_positions, running
 
 # fixed values: shares above which a column counts as numeric or as a date
@@ -231,9 +232,11 @@ def length_summary(df: DataFrame, index: str, length: Column) -> DataFrame:
 def nearest_rank_quantiles(df: DataFrame, column: str, quantiles: Sequence[float]) -> DataFrame:
     """``sorted[int(q * n)]`` for several q.
 
-    Equal values are counted first, so the ordered pass sees distinct values only; the
-    running count is cut into segments.
+    Numbers, dates and times are selected by counting in shrinking ranges. Other types are
+    put in order: equal values are counted first, and the running count is cut into segments.
     """
+    if isinstance(df.select(column).schema[0].dataType, (T.NumericType, T.DateType, T.TimestampType)):
+        return values_at_ranks(df, column, quantiles)
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(
         F.count("*").alias("n")
     )
@@ -302,11 +305,11 @@ def chart_timeline(df: DataFrame, order: Sequence[Column] = ()) -> DataFrame:
     The leftmost header that holds one of a role's words plays it. Without a label column
     the label is the row's place in ``order`` (by default: start, then end), counted from 0.
     """
-    headers = [(place, h, h.lower()) for place, h in enumerate(df.columns)]
     found = {}
     for role, words in TIMELINE_ROLES.items():
-        fitting = [(place, h) for place, h, low in headers if any(map(low.count, words))]
-        found[role] = min(fitting)[1] if fitting else None
+        # The first header, in order, that contains one of the words.
+        fitting = (h for h in df.columns if any(word in h.lower() for word in words))
+        found[role] = next(fitting, None)
     if not found["start"] or not found["end"]:
         raise ValueError("no start and end columns for a timeline")
     if not found["label"]:
