@@ -245,7 +245,7 @@ def _(t):
     rows = t.embeddings.select("vec_id", "embedding", thread.alias("thread_id"), name.alias("file_name"))
     rows.write.partitionBy("thread_id").parquet(vectors)
     S.delete_file(t.spark, [path, vectors], "t1", "suppliers.csv")
-    left = t.spark.read.parquet(vectors).groupBy("thread_id", "file_name").agg(F.count("*").alias("row_count"))
+    left = S.read_store(t.spark, vectors).groupBy("thread_id", "file_name").agg(F.count("*").alias("row_count"))
     left = left.withColumn("file_name", F.concat(F.lit("vectors of "), "file_name"))
     return S.stored_files(t.spark, path).select("thread_id", "file_name", "row_count").unionByName(left)
 
@@ -290,7 +290,7 @@ def _(t):
     rows = t.orders.select("o_orderkey", "o_orderstatus")
     S.replace_table(rows.where(F.col("o_orderstatus") == "F"), path)
     S.replace_table(rows, path)
-    return t.spark.read.parquet(path)
+    return S.read_table(t.spark, path)
 
 
 @query(

@@ -1,4 +1,5 @@
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,11 +123,64 @@ def test_delete_drops_rows_and_vectors(spark, tmp_path):
         assert left == {("t", "b.csv", 1200), ("other", "a.csv", 1200)}
     store.delete_file(spark, paths, "t", "b.csv")
     assert {r.thread_id for r in store.stored_files(spark, paths[0]).collect()} == {"other"}
-    assert spark.read.parquet(paths[0]).agg(F.max("n_rows")).first()[0] == 500
+    assert store.read_store(spark, paths[0]).agg(F.max("n_rows")).first()[0] == 500
     back = store.rows_as_columns(store.read_file(spark, paths[0], "other", "a.csv"), ["id", "name"])
     assert back.where("name = 'n' || id").count() == 1200
 
 
+def test_deleted_file_can_come_back(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = spark.range(700).withColumn("name", F.concat(F.lit("n"), "id"))
+    for thread in ("a b/1", "t2", "7"):
+        store.append_chunks(store.file_chunks(rows, thread, "x.csv", [F.col("id")]), path)
+    store.delete_file(spark, [path], "a b/1", "x.csv")
+    store.delete_file(spark, [path], "absent", "x.csv")
+    again = store.file_chunks(rows.limit(3), "a b/1", "x.csv", [F.col("id")])
+    more = store.file_chunks(rows.limit(5), "t2", "y.csv", [F.col("id")])
+    store.append_chunks(again.unionByName(more), path)
+    want = {("a b/1", "x.csv", 3), ("t2", "x.csv", 700), ("t2", "y.csv", 5), ("7", "x.csv", 700)}
+    for _ in range(2):
+        found = store.stored_files(spark, path).collect()
+        assert {(r.thread_id, r.file_name, r.row_count) for r in found} == want
+        store.drop_deleted(spark, path)
+    assert store.read_file(spark, path, "a b/1", "x.csv").count() == 3
+
+
+def test_reader_never_misses_a_replaced_table(spark, tmp_path):
+    path = str(tmp_path / "table")
+    store.replace_table(spark.range(100).withColumn("v", F.lit(0)), path)
+    stop, seen, faults = threading.Event(), [], []
+
+    def read():
+        while not stop.is_set():
+            try:
+                seen.append(tuple(store.read_table(spark, path).agg(F.count("*"), F.min("v"), F.max("v")).first()))
+            except Exception as fault:  # noqa: BLE001
+                faults.append(fault)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for i in range(1, 11):
+        assert store.replace_table(spark.range(100).withColumn("v", F.lit(i)), path) == i + 1
+    stop.set()
+    reader.join()
+    assert not faults and len(seen) > 3
+    assert all(n == 100 and low == high for n, low, high in seen) and seen == sorted(seen)
+    store.drop_old_versions(spark, path, keep=1)
+    assert len(list((tmp_path / "table").glob("_version-*"))) == 1
+    assert store.read_table(spark, path).agg(F.max("v")).first()[0] == 10
+
+
+def test_unpublished_version_stays_unseen(spark, tmp_path):
+    path = str(tmp_path / "table")
+    spark.range(5).write.parquet(path)
+    assert store.read_table(spark, path).count() == 5
+    spark.range(9).write.parquet(f"{path}/_version-000000000001")
+    assert store.read_table(spark, path).count() == 5
+    assert store.replace_table(spark.range(7), path) == 2
+    assert store.read_table(spark, path).count() == 7
+
+
 def test_roles_and_compat(spark):
     data = [(str(i), f"2024-01-{i % 28 + 1:02d}", "x", None) for i in range(100)]
     df = spark.createDataFrame(data, "n string, d string, c string, e string")
