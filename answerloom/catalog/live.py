@@ -35,6 +35,7 @@ def _waves(df, order: str, path: str):
        FROM (SELECT doc_id, text, unnest(range(0, length(text), 900)) AS s FROM documents)""",
 )
 def _(t):
+    states.use_keyed_state(t.spark)
     base = scratch_path(t.spark, "ingest")
     rows = t.documents.select("doc_id", "text")
     stream = _waves(rows, "doc_id", f"{base}/in")

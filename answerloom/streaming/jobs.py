@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerloom.functions.text import text_chunks
@@ -40,31 +40,30 @@ def write_batches(
 
 def chunk_stream(
     source: DataFrame, path: str, checkpoint: str, file: str = "file", text: str = "text",
-    size: int = 1000, overlap: int = 100,
+    size: int = 1000, overlap: int = 100, arrived: str | None = None, remember: str | None = None,
 ):
     """ST1: dropped files become overlapping text chunks, once per (file, content).
 
-    A file that comes again with the same content is left out; chunks of a batch are
-    compared with the earlier batches only, so a repeated batch gives the same rows.
+    A file that comes again with the same content is left out. What was seen is keyed state of
+    the stream, one digest a file and content; no batch reads earlier output, and after a
+    restart a batch starts from the state that its first run started from. Without
+    ``remember`` the state is kept for good. With it (``"30 days"``) a pair is forgotten that
+    long after its time in column ``arrived``, and rows that come later than that are left out.
+    Large state wants :func:`answerloom.streaming.states.use_keyed_state`.
     """
+    if (arrived is None) != (remember is None):
+        raise ValueError("arrived and remember belong together")
+    marked = source.withColumn("content", F.sha2(text, 256))
+    if remember is None:
+        fresh = marked.dropDuplicates([file, "content"])
+    else:
+        fresh = marked.withWatermark(arrived, remember).dropDuplicatesWithinWatermark([file, "content"])
 
     def prepare(batch: DataFrame, batch_id: int) -> DataFrame:
-        spark = batch.sparkSession
-        marked = batch.withColumn("content", F.sha2(text, 256)).dropDuplicates([file, "content"])
-        if _exists(spark, path):
-            # The first chunk stands for its file; later batches are pruned by partition.
-            earlier = (F.col("batch_id") < batch_id) & (F.col("pos") == 0)
-            done = spark.read.parquet(path).where(earlier).select(file, "content")
-            marked = marked.join(done, [file, "content"], "left_anti")
         pieces = F.posexplode(text_chunks(text, size, overlap)).alias("pos", "chunk")
-        return marked.select(file, "content", pieces)
+        return batch.select(file, "content", pieces)
 
-    return write_batches(source, path, checkpoint, prepare)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return write_batches(fresh, path, checkpoint, prepare)
 
 
 def windowed_metrics(

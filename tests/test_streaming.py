@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,45 @@ def test_chunk_stream_runs_again_without_doubling(spark, tmp_path):
     assert run() == sorted([*first, ("b", 0, "z")])
 
 
+def test_chunk_stream_reads_no_earlier_output(spark, tmp_path):
+    files = spark.createDataFrame([("a", "x" * 25), ("b", "y" * 5), (None, "n")], "file string, text string")
+    src, state = str(tmp_path / "in"), str(tmp_path / "state")
+    outs = [str(tmp_path / f"out{i}") for i in range(2)]
+    arrive(files, src)
+
+    def run(out):
+        stream = spark.readStream.schema("file string, text string").parquet(src)
+        jobs.drain(jobs.chunk_stream(stream, out, state, size=10, overlap=0))
+        return sorted(r.chunk for r in spark.read.parquet(out).collect())
+
+    assert run(outs[0]) == ["n", "x" * 5, "x" * 10, "x" * 10, "y" * 5]
+    arrive(files.unionAll(files), src)
+    arrive(spark.createDataFrame([("b", "z")], "file string, text string"), src)
+    # The second table is new and empty: only the state knows what came before.
+    assert run(outs[1]) == ["z"]
+    # A batch whose end was not recorded runs again from the same state into the same place.
+    commits = sorted(int(f.name) for f in (tmp_path / "state" / "commits").iterdir() if f.name.isdigit())
+    for name in (str(commits[-1]), f".{commits[-1]}.crc"):
+        (tmp_path / "state" / "commits" / name).unlink(missing_ok=True)
+    assert run(outs[1]) == ["z"]
+
+
+def test_chunk_stream_forgets_after_a_while(spark, tmp_path):
+    schema = "file string, text string, at timestamp"
+    src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    waves = [("a", "x", 1), ("a", "x", 2), ("b", "y", 20), ("c", "w", 21), ("a", "x", 22)]
+    found = []
+    for file, text, day in waves:
+        at = datetime.datetime(2024, 1, day)
+        arrive(spark.createDataFrame([(file, text, at)], schema), src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        jobs.drain(jobs.chunk_stream(stream, out, state, arrived="at", remember="5 days"))
+        found.append(sorted(r.chunk for r in spark.read.parquet(out).collect()))
+    assert found == [["x"], ["x"], ["x", "y"], ["w", "x", "y"], ["w", "x", "x", "y"]]
+    with pytest.raises(ValueError):
+        jobs.chunk_stream(spark.readStream.schema(schema).parquet(src), out, state, remember="5 days")
+
+
 def test_majority_state_goes_with_the_last_sample(spark, tmp_path):
     import time
 
