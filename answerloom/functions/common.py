@@ -55,5 +55,23 @@ def strict_json(text: Column) -> Column:
     return F.when(single, F.try_variant_get(listed, "$[0]", "variant"))
 
 
+def float_divide(a: Column, b: Column) -> Column:
+    """``a / b`` of doubles by the floating-point rules: over zero it is infinite or NaN, no error."""
+    by_zero = (
+        F.when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf"))).when(a == 0, F.lit(float("nan")))
+    )
+    # NaN sorts above everything in a comparison, but is no infinity when divided.
+    return F.when(b != 0, a / b).when(F.isnan(a), a).otherwise(F.when(b == 0, by_zero))
+
+
+def float_log(value: Column) -> Column:
+    """Natural logarithm by the floating-point rules: zero gives -Infinity, below zero is NaN."""
+    return (
+        F.when(value > 0, F.log(value))
+        .when(value == 0, F.lit(float("-inf")))
+        .when(value < 0, F.lit(float("nan")))
+    )
+
+
 def round6(value: Column) -> Column:
     return F.round(value, 6)

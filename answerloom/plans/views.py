@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from answerloom.functions.common import float_divide, float_log
 from answerloom.plans.skew import group_positions
 
 # fixed values: the five event types in sorted order
@@ -97,11 +98,13 @@ def v_tokens(t) -> DataFrame:
         .groupBy("seq_id", "pos", "token_id")
         .agg(F.sum("v").cast("double").alias("mass"))
     )
-    share = F.col("mass") / F.sum("mass").over(W.partitionBy("seq_id", "pos"))
-    return sums.withColumn("p", share).select(
+    # A position whose values are all zero has no shares: 0 / 0 is NaN in the SQL.
+    total = F.sum("mass").over(W.partitionBy("seq_id", "pos"))
+    shares = sums.withColumn("total", total).withColumn("p", float_divide(F.col("mass"), F.col("total")))
+    return shares.select(
         "seq_id", "pos", "token_id",
         (F.col("mass") / 10).alias("logit"), "p",
-        F.when(F.col("p") > 0, F.log("p")).otherwise(F.lit(float("-inf"))).alias("logp"),
+        float_log(F.col("p")).alias("logp"),
         F.lit(5).cast("long").alias("prompt_len"),
     )
 
