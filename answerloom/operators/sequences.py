@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from answerloom.functions.common import float_divide
 from answerloom.functions.text import parse_numeric
 from answerloom.plans.skew import (
     null_safe_join,
@@ -169,14 +170,15 @@ def nucleus(
 
 
 def top_k_share(df: DataFrame, rows: Sequence[str], item: str, p: str, k: int) -> DataFrame:
-    """The ``k`` largest items per row, renormalised.
+    """The ``k`` largest items per row, renormalised; where their mass is zero shares are NaN.
 
     The rank limit is applied on both sides of the shuffle (a group limit).
     """
     rank = F.row_number().over(W.partitionBy(*rows).orderBy(F.col(p).desc(), F.col(item)))
     kept = df.withColumn("__rn", rank).where(F.col("__rn") <= k).drop("__rn")
     stats = with_group_stats(kept, rows, {"__mass": F.sum(p)})
-    return stats.withColumn("share", F.col(p) / F.col("__mass")).drop("__mass")
+    share = float_divide(F.col(p).cast("double"), F.col("__mass").cast("double"))
+    return stats.withColumn("share", share).drop("__mass")
 
 
 def softmax(
