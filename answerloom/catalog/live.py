@@ -29,6 +29,25 @@ def _waves(df, order: str, path: str):
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def _arriving(df, order: str, base: str, run) -> None:
+    """Let ``df`` arrive as a few waves in ``order``; ``run(stream)`` drains each before the next.
+
+    A wave is one micro-batch, so their number does not grow with the table. ``df`` is worked
+    out once.
+    """
+    df.write.parquet(f"{base}/all")
+    rows = df.sparkSession.read.schema(df.schema).parquet(f"{base}/all")
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        low = high = 0
+    width = (high - low) // WAVES + 1
+    for i in range(WAVES):
+        first = low + i * width
+        part = rows.where((F.col(order) >= first) & (F.col(order) < first + width))
+        part.write.mode("append").parquet(f"{base}/in")
+        run(df.sparkSession.readStream.schema(df.schema).parquet(f"{base}/in"))
+
+
 @query(
     "st1_chunk_stream",
     """SELECT doc_id, CAST(s // 900 AS INTEGER) AS pos, substr(text, CAST(s AS BIGINT) + 1, 1000) AS chunk
@@ -67,10 +86,12 @@ def _(t):
 @query("st3_online_elo", ELO_SQL, ("v_votes",))
 def _(t):
     base = scratch_path(t.spark, "votes-stream")
-    stream = _waves(V.v_votes(t), "seq", f"{base}/in")
-    J.drain(
-        J.write_batches(states.online_elo(stream), f"{base}/out", f"{base}/state", output_mode="update")
-    )
+
+    def run(stream):
+        ratings = states.online_elo(stream)
+        J.drain(J.write_batches(ratings, f"{base}/out", f"{base}/state", output_mode="update"))
+
+    _arriving(V.v_votes(t), "seq", base, run)
     out = J.latest(t.spark.read.parquet(f"{base}/out"), ["arena", "model"])
     return out.select("arena", "model", round6(F.col("rating")).alias("rating"))
 
@@ -86,8 +107,11 @@ def _(t):
     base = scratch_path(t.spark, "samples-stream")
     samples = V.v_samples(t).select("item", "sample_idx", "answer")
     sized = with_group_stats(samples, ["item"], {"num_samples": F.count("*")})
-    stream = _waves(sized, "sample_idx", f"{base}/in")
-    J.drain(J.write_batches(states.online_majority(stream), f"{base}/out", f"{base}/state"))
+
+    def run(stream):
+        J.drain(J.write_batches(states.online_majority(stream), f"{base}/out", f"{base}/state"))
+
+    _arriving(sized, "sample_idx", base, run)
     return t.spark.read.parquet(f"{base}/out").drop("batch_id")
 
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from answerloom.operators.boards import K_FACTOR, START_RATING, fold_votes
@@ -18,6 +21,25 @@ def use_keyed_state(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
+_FOLDED = 100_000
+
+
+def _coded_votes(rows: Iterator[pd.DataFrame]):
+    """Arrays of seq, winner and loser, and the names that the last two are numbers of.
+
+    A vote takes 16 bytes, whatever the names are.
+    """
+    numbers: dict[str | None, int] = {}
+    parts = []
+    for chunk in rows:
+        codes, found = pd.factorize(pd.concat([chunk["winner"], chunk["loser"]]), use_na_sentinel=False)
+        found = [None if pd.isna(name) else name for name in found]
+        codes = np.array([numbers.setdefault(name, len(numbers)) for name in found], dtype=np.int32)[codes]
+        parts.append((chunk["seq"].to_numpy(), codes[: len(chunk)], codes[len(chunk) :]))
+    seq, winner, loser = (np.concatenate(x) for x in zip(*parts))
+    return seq, winner, loser, list(numbers)
+
+
 class RatingProcessor(StatefulProcessor):
     """Ratings of one arena; votes not newer than the last one taken are rejected."""
 
@@ -30,18 +52,27 @@ class RatingProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         last = self.last.get()[0] if self.last.exists() else None
-        votes = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        fresh = votes if last is None else votes[votes["seq"] > last]
-        rejected = len(votes) - len(fresh)
-        names = pd.unique(pd.concat([fresh["winner"], fresh["loser"]]))
-        known = {
-            m: self.ratings.getValue((m,))[0] for m in names if self.ratings.containsKey((m,))
-        }
-        after = fold_votes(known, zip(fresh["winner"], fresh["loser"]), self.k, self.start)
+        seq, winner, loser, names = _coded_votes(rows)
+        late = np.zeros(len(seq), dtype=bool) if last is None else ~(seq > last)
+        rejected = int(late.sum())
+        order = np.argsort(seq, kind="stable")
+        order = order[~late[order]]
+        known = {}
+        for i in np.union1d(winner[order], loser[order]):
+            if self.ratings.containsKey((names[i],)):
+                known[names[i]] = self.ratings.getValue((names[i],))[0]
+
+        def pairs():
+            for at in range(0, len(order), _FOLDED):
+                part = order[at : at + _FOLDED]
+                for i, j in zip(winner[part].tolist(), loser[part].tolist()):
+                    yield names[i], names[j]
+
+        after = fold_votes(known, pairs(), self.k, self.start)
         for model, rating in after.items():
             self.ratings.updateValue((model,), (float(rating),))
-        if len(fresh):
-            self.last.update((int(fresh["seq"].max()),))
+        if len(order):
+            self.last.update((int(seq[order].max()),))
         if not after:
             return
         yield pd.DataFrame(
@@ -75,10 +106,13 @@ def online_elo(votes: DataFrame, k: float = K_FACTOR, start: float = START_RATIN
 
 
 class MajorityProcessor(StatefulProcessor):
-    """Counts per answer of one item until an answer has more than half of all samples.
+    """Counts per answer until an answer of an item has more than half of all samples.
 
-    All state of an item goes when its last sample has arrived. With ``idle_ms`` an item
-    without new samples for that long is emitted undecided, if it is, and forgotten.
+    One key is a bucket of items, so a call takes many items at once and the state of a bucket is
+    read and written once a batch, as two packed tables: the open items, and the counts of those
+    that are not decided. All state of an item goes when its last sample has arrived. With
+    ``idle_ms`` an item without new samples for that long is emitted undecided, if it is, and
+    forgotten.
     """
 
     def __init__(self, idle_ms: int | None = None):
@@ -86,60 +120,69 @@ class MajorityProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counts = handle.getMapState("counts", "answer string", "n long")
-        self.seen = handle.getValueState("seen", "arrived long, done boolean")
-
-    def _row(self, key, answer, used) -> pd.DataFrame:
-        final = pd.Series([answer], dtype=object)
-        return pd.DataFrame({"item": [key[0]], "final_answer": final, "n_used": [used]})
-
-    def _wait(self, timerValues, stay: bool) -> None:
-        """One timer an item: the old one goes, a new one starts if the item stays."""
-        if self.idle_ms is None:
+        self.held = handle.getValueState("held", "open binary, counts binary")
+
+    def _load(self) -> tuple[pd.DataFrame, pd.DataFrame]:
+        if not self.held.exists():
+            return _OPEN.empty_table().to_pandas(), _COUNTS.empty_table().to_pandas()
+        return tuple(pa.ipc.open_stream(bytes(x)).read_all().to_pandas() for x in self.held.get())
+
+    def _keep(self, items: pd.DataFrame, counts: pd.DataFrame) -> None:
+        """Hold these tables; the bucket has one timer, for its item that is due first."""
+        if self.idle_ms is not None:
+            for expiry in list(self.handle.listTimers()):
+                self.handle.deleteTimer(expiry)
+        if items.empty:
+            self.held.clear()
             return
-        for expiry in list(self.handle.listTimers()):
-            self.handle.deleteTimer(expiry)
-        if stay:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        self.held.update((_packed(items, _OPEN), _packed(counts, _COUNTS)))
+        if self.idle_ms is not None:
+            self.handle.registerTimer(int(items["due"].min()))
+
+    def _rows(self, key, items, answers, used) -> pd.DataFrame:
+        named = pd.Series(items, dtype=object) if key[0] >= 0 else pd.Series([None] * len(items), dtype=object)
+        return pd.DataFrame(
+            {"item": named, "final_answer": pd.Series(answers, dtype=object), "n_used": pd.Series(used, dtype="int64")}
+        )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        arrived, done = self.seen.get() if self.seen.exists() else (0, False)
-        samples = pd.concat(list(rows)).sort_values("sample_idx", kind="stable")
-        counts: dict[str, int] = {}
-        result = None
-        total = None
-        for answer, total in zip(samples["answer"], samples["num_samples"]):
-            arrived += 1
-            if done:
-                continue
-            if answer not in counts:
-                held = self.counts.containsKey((answer,))
-                counts[answer] = self.counts.getValue((answer,))[0] if held else 0
-            counts[answer] += 1
-            if counts[answer] * 2 > total:
-                result, done = (answer, arrived), True
-            elif arrived == total:
-                result, done = (None, arrived), True
-        complete = total is not None and arrived >= total
-        if complete:
-            self.seen.clear()
-        else:
-            self.seen.update((int(arrived), bool(done)))
-        if done:
-            self.counts.clear()
-        else:
-            for answer, n in counts.items():
-                self.counts.updateValue((answer,), (int(n),))
-        self._wait(timerValues, stay=not complete)
-        if result is not None:
-            yield self._row(key, *result)
+        items, counts = self._load()
+        new = pd.concat(list(rows), ignore_index=True).sort_values("sample_idx", kind="stable")
+        new = new.merge(items[["item", "arrived", "done"]], "left", "item")
+        new = new.merge(counts, "left", ["item", "answer"])
+        new["done"] = new["done"].eq(True)
+        new["arrived"] = new["arrived"].fillna(0).astype("int64") + new.groupby("item").cumcount() + 1
+        alike = new.groupby(["item", "answer"], dropna=False).cumcount() + 1
+        won = (new["n"].fillna(0).astype("int64") + alike) * 2 > new["num_samples"]
+        ending = (won | (new["arrived"] == new["num_samples"])) & ~new["done"]
+        found = new[ending].drop_duplicates("item")
+        final = found["answer"].where(won[found.index], None)
+
+        last = new.drop_duplicates("item", keep="last")
+        open_ = last[~(last["arrived"] >= last["num_samples"])][["item", "arrived", "done"]]
+        open_ = open_.assign(
+            done=open_["done"] | open_["item"].isin(found["item"]),
+            due=0 if self.idle_ms is None else timerValues.getCurrentProcessingTimeInMs() + self.idle_ms,
+        )
+        items = pd.concat([items[~items["item"].isin(last["item"])], open_], ignore_index=True)
+        undecided = items.loc[~items["done"].astype(bool), "item"]
+        counts = pd.concat([counts, new[["item", "answer"]].assign(n=1)], ignore_index=True)
+        counts = counts[counts["item"].isin(undecided)]
+        counts = counts.groupby(["item", "answer"], dropna=False, as_index=False)["n"].sum()
+        self._keep(items, counts)
+        if len(found):
+            answers = [None if pd.isna(x) else x for x in final]
+            yield self._rows(key, found["item"].tolist(), answers, found["arrived"].tolist())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        arrived, done = self.seen.get() if self.seen.exists() else (0, True)
-        self.seen.clear()
-        self.counts.clear()
-        if not done:
-            yield self._row(key, None, int(arrived))
+        items, counts = self._load()
+        now = max(timerValues.getCurrentProcessingTimeInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        idle = items["due"] <= now
+        gone, items = items[idle], items[~idle]
+        self._keep(items, counts[counts["item"].isin(items["item"])])
+        gone = gone[~gone["done"].astype(bool)]
+        if len(gone):
+            yield self._rows(key, gone["item"].tolist(), [None] * len(gone), gone["arrived"].tolist())
 
     def close(self) -> None:
         pass
@@ -148,15 +191,38 @@ class MajorityProcessor(StatefulProcessor):
 MAJORITY_SCHEMA = "item long, final_answer string, n_used long"
 
 
-def online_majority(samples: DataFrame, idle_ms: int | None = None) -> DataFrame:
+_OPEN = pa.schema([("item", pa.int64()), ("arrived", pa.int64()), ("done", pa.bool_()), ("due", pa.int64())])
+_COUNTS = pa.schema([("item", pa.int64()), ("answer", pa.string()), ("n", pa.int64())])
+BUCKETS = 1024
+
+
+def _packed(rows: pd.DataFrame, schema: pa.Schema) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as writer:
+        writer.write_table(pa.Table.from_pandas(rows, schema, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def online_majority(
+    samples: DataFrame, idle_ms: int | None = None, buckets: int = BUCKETS
+) -> DataFrame:
     """ST4: emit an item once, when an answer passes half of ``num_samples``.
 
     Items whose samples run out without a majority are emitted with a NULL answer, as are
     items that got no sample for ``idle_ms``. Items keep state only until their last sample
-    or that timer; counts only until they are decided.
+    or that timer; counts only until they are decided. Items are dealt to ``buckets``; a batch
+    rewrites the open items of the buckets it meets, so very many open items want more of them.
+    ``buckets`` belongs to the checkpoint and stays as it is over restarts.
     """
     use_keyed_state(samples.sparkSession)
-    return samples.groupBy("item").transformWithStateInPandas(
+    item = F.col("item").cast("long")
+    # Samples without an item are one item, in a bucket of its own.
+    bucket = F.when(item.isNull(), -1).otherwise(F.pmod(F.xxhash64(item), F.lit(buckets))).cast("long")
+    rows = samples.select(
+        bucket.alias("bucket"), F.coalesce(item, F.lit(0).cast("long")).alias("item"), "sample_idx",
+        F.col("answer").cast("string").alias("answer"), "num_samples",
+    )
+    return rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=MajorityProcessor(idle_ms),
         outputStructType=MAJORITY_SCHEMA,
         outputMode="Append",
