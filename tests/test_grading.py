@@ -180,3 +180,30 @@ def test_answer_class(spark):
     }
     assert column(spark, list(cases), G.answer_class) == [v[0] for v in cases.values()]
     assert column(spark, list(cases), G.class_canonical) == [v[1] for v in cases.values()]
+
+
+def test_short_ways_equal_the_general_way(spark):
+    cases = [
+        ("12", "12", "1"), ("-7", "-7", "1"), ("007", "7", "1"), ("(12)/(5)", "12", "5"), ("(3)/(0)", None, None),
+        ("(-3)/(2)", None, None), ("12/5", "12", "5"), ("1" * 18, "1" * 18, "1"), ("1" * 19, "1" * 19, "1"),
+        (f"({'9' * 18})/({'9' * 19})", "9" * 18, "9" * 19), ("(2)(3)", "6", "1"), ("3**2", "9", "1"),
+        ("-0", "0", "1"), ("+5", "5", "1"), ("1\n", "1", "1"), ("x", None, None), ("", None, None), (None, None, None),
+    ]
+    df = spark.createDataFrame(cases, "part string, num string, den string")
+    got = df.withColumn("r", G.rational("part")).select(
+        "part", "num", "den", F.col("r.num").cast("string").alias("n"), F.col("r.den").cast("string").alias("d")
+    )
+    for r in got.collect():
+        assert (r.n, r.d) == (r.num, r.den), r
+
+
+def test_candidate_and_normal_form_stay_out_of_the_generated_method(spark):
+    """All rewrites in one generated method were too long for the JVM to compile."""
+    df = spark.createDataFrame([("\\boxed{1}",)], "text string")
+    out = df.select(G.normalize_answer(G.final_candidate("text")).alias("x"))
+    code = out._jdf.queryExecution().debug().codegenToSeq()
+    assert code.isEmpty() or "regexp" not in code.mkString().lower()
+    white = "  　\\boxed{ 4 $} \n"
+    rows = spark.createDataFrame([(white,), ("\\boxed{}",), ("\\boxed{} 7",), ("\\boxed",), (" 3 ",), (None,)], "text string")
+    got = [r.c for r in rows.select(G.final_candidate("text").alias("c")).collect()]
+    assert got == ["4", "\\boxed{}", "7", "\\boxed", "3", ""]
