@@ -243,7 +243,7 @@ def _reaching(members: DataFrame, shapes: DataFrame, similarity: float) -> DataF
         near = known.join(least, "band").where("reach >= least AND held > 1")
         near = stored(near.select("band", "row", "n", F.col("held").alias("size"), "reach"), "reaching")
         # A row that left may have been the smallest of its band.
-        if near.count() > 0.9 * known.count():
+        if near.count() >= 0.9 * known.count():
             return near
         known = near
 
