@@ -1,9 +1,16 @@
-"""Near copies by word shingles: MinHash candidates, exact similarity, components.
+"""Near copies by word shingles: SimHash candidates, exact similarity, components.
 
 Two texts are near copies if the sets of their word shingles have a Jaccard similarity of at
-least ``SIMILARITY``. Texts with equal sets are one class from the first aggregation on. A
-class has as many MinHash bands as miss a pair at the threshold with a chance of ``MISSED``;
-whoever shares a band is compared, shingle set against shingle set.
+least ``SIMILARITY``. Texts with equal sets are one class from the first aggregation on. A class
+whose ``SKETCH`` smallest shingles hardly occur in other sketches has no near copy and is done.
+
+Every other class has several 64-bit SimHash fingerprints, each cut into four blocks of 16 bits:
+as many as miss a pair at the threshold with a chance of ``MISSED``. Two rows of a block are
+candidates if their first fingerprints differ in no more bits than a pair at the threshold does
+with the same chance. Candidates that hang together in a block join the band of the smallest row
+among them, so blocks that hold the same copies make one band. Sets of few shingles, whose bits
+depend on each other's ties, meet by their smallest shingles instead, as many as a similar pair
+cannot avoid.
 
 Members of a band are not compared pair by pair at first. A shingle that only one member of
 all bands has cannot be shared, which bounds the similarity a row can reach: rows that cannot
@@ -34,9 +41,20 @@ from answerloom.llm.components import connected_components
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: Chance that a pair at the threshold shares no band.
+#: Chance that a pair at the threshold shares no block.
 MISSED = 1e-6
-BAND_ROWS = 4
+BLOCK_BITS = 16
+#: Fingerprints that travel with a block, for the distance of what meets there.
+CHECKED = 2
+#: Smallest shingles of a set that say whether it shares any with others.
+SKETCH = 16
+#: Sets of at most so many shingles meet by shingles, not by fingerprints.
+SHORT = 24
+#: Rows of a block up to which distances are counted; a larger one is one band.
+COUNTED = 4096
+#: Rows of blocks for one task, and those that are worked on at once.
+TASK_BLOCKS = 2_000_000
+CHUNK = 200_000
 PAIRED = 32
 PIVOTS = 2
 #: A round that joins fewer than this share of its rows is the last one.
@@ -48,7 +66,7 @@ CLASSES = 32
 #: Counters of shingles, by hash, that the prefix order goes by.
 COUNTERS = 1 << 18
 BATCH_BYTES = 4 << 20
-_PART = 2048
+_PART = 255
 _hash = functools.partial(xxhash.xxh64_intdigest, seed=7)
 
 
@@ -64,32 +82,69 @@ def shingle_set(text: bytes | None, width: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(np.fromiter(map(_hash, shingles), dtype=np.uint64))
 
 
+def _differing(similarity: float) -> float:
+    """Chance that a bit differs between two sets of this similarity; sets of one size differ most."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
 def band_count(similarity: float) -> int:
-    return max(1, math.ceil(math.log(MISSED) / math.log1p(-min(similarity, 0.999) ** BAND_ROWS)))
+    """Blocks that a pair of this similarity misses with a chance of ``MISSED``, in whole fingerprints."""
+    same = (1 - _differing(min(similarity, 0.999))) ** BLOCK_BITS
+    each = 64 // BLOCK_BITS
+    return each * max(CHECKED, math.ceil(math.log(MISSED) / math.log1p(-same) / each))
+
+
+def _at_most(n: int, p: float, k: int) -> float:
+    """Chance of at most ``k`` successes in ``n``."""
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def radius(similarity: float) -> int:
+    """Differing bits in ``CHECKED`` fingerprints that a similar pair exceeds with a quarter of ``MISSED``."""
+    bits, p = 64 * CHECKED, _differing(similarity)
+    return next(k for k in range(bits + 1) if 1 - _at_most(bits, p, k) <= MISSED / 4)
+
+
+def least_shared(similarity: float) -> int:
+    """Sketch values in common that a similar pair falls short of with a quarter of ``MISSED`` at most."""
+    short = [k for k in range(1, SKETCH + 1) if _at_most(SKETCH, similarity, k - 1) <= MISSED / 4]
+    return max(short, default=1)
 
 
 @functools.cache
-def _factors(bands: int) -> tuple[np.ndarray, np.ndarray]:
+def _factors(count: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
-    drawn = rng.integers(0, 1 << 64, (2, bands * BAND_ROWS), dtype=np.uint64)
+    drawn = rng.integers(0, 1 << 64, (count, 2), dtype=np.uint64).T
     return drawn[0] | np.uint64(1), drawn[1]
 
 
+def fingerprints(shingles: np.ndarray, count: int) -> np.ndarray:
+    """``count`` SimHash fingerprints of a set: a bit is 1 if set in over half of the values."""
+    factor, shift = _factors(count)
+    ones = np.zeros(64 * count, dtype=np.int64)
+    for at in range(0, len(shingles), _PART):
+        part = shingles[at : at + _PART, None] * factor + shift
+        part ^= part >> np.uint64(32)
+        part *= np.uint64(0x9E3779B97F4A7C15)
+        part ^= part >> np.uint64(29)
+        bits = np.unpackbits(part.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.uint8)  # _PART rows fit a byte
+    return np.packbits(ones * 2 > len(shingles), bitorder="little").view("<u8")
+
+
+def _blocks(prints: np.ndarray) -> np.ndarray:
+    values = prints.astype("<u8", copy=False).view("<u2").astype(np.int64)
+    return values | (np.arange(len(values)) << BLOCK_BITS)
+
+
 def band_values(shingles: np.ndarray, bands: int) -> list[int]:
-    """One signed 64-bit value for each MinHash band of a set; none for an empty set."""
+    """Number and value of each fingerprint block of a set; none for an empty set."""
     if not len(shingles):
         return []
-    factor, shift = _factors(bands)
-    least = np.full(len(factor), np.iinfo(np.uint64).max)
-    for at in range(0, len(shingles), _PART):
-        part = shingles[at : at + _PART, None] * factor + shift
-        least = np.minimum(least, part.min(axis=0))
-    data, size = least.tobytes(), 8 * BAND_ROWS
-    digests = [xxhash.xxh64_intdigest(data[i * size : (i + 1) * size], seed=i) for i in range(bands)]
-    return np.array(digests, dtype=np.uint64).view(np.int64).tolist()
+    return _blocks(fingerprints(shingles, bands * BLOCK_BITS // 64)).tolist()
 
 
-def _sketches(rows: DataFrame, width: int, bands: int) -> DataFrame:
+def _sketches(rows: DataFrame, width: int) -> DataFrame:
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,11 +155,141 @@ def _sketches(rows: DataFrame, width: int, bands: int) -> DataFrame:
                 *(batch.column(c) for c in ("row", "doc_id", "text_hash")),
                 pa.array(keys.view(np.int64)),
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([band_values(s, bands) for s in sets], pa.list_(pa.int64())),
+                pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "text_hash", "key", "n", "low"])
+
+    return rows.mapInArrow(run, f"row long, doc_id {kind}, text_hash long, key long, n long, low array<long>")
+
+
+def _sharing(heads: DataFrame, similarity: float) -> DataFrame:
+    """The rows whose sketch has as many values of other sketches as a similar pair has in common."""
+    keyed = heads.select("row", F.explode("low").alias("value"))
+    shared = keyed.groupBy("value").agg(F.count("*").alias("held")).where("held > 1").select("value")
+    found = keyed.join(shared, "value").groupBy("row").agg(F.count("*").alias("common"))
+    need = F.ceil(F.least("n", F.lit(SKETCH)) * (least_shared(similarity) / SKETCH) - 1e-9)
+    return heads.select("row", "n").join(found, "row").where(F.col("common") >= need).select("row")
+
+
+def _block_rows(sets: DataFrame, similarity: float) -> DataFrame:
+    """(block, row, n, print_0, …): a row for each fingerprint block of each set that is not short."""
+    bands = band_count(similarity)
+    each = 64 // BLOCK_BITS
+    names = [f"print_{i}" for i in range(CHECKED)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "shingles", BATCH_BYTES):
+            found = [np.frombuffer(s, np.uint64) for s in batch.column("shingles").to_pylist()]
+            at = np.array([i for i, s in enumerate(found) if len(s) > SHORT], dtype=np.int64)
+            if not len(at):
+                continue
+            prints = np.array([fingerprints(found[i], bands // each) for i in at])
+            owner = pa.array(np.repeat(at, bands))
+            columns = [
+                pa.array(np.concatenate([_blocks(p) for p in prints])),
+                batch.column("row").take(owner),
+                pa.array(np.repeat([len(found[i]) for i in at], bands)),
+                *(pa.array(np.repeat(prints[:, i], bands).view(np.int64)) for i in range(CHECKED)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "text_hash", "key", "n", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, ["block", "row", "n", *names])
+
+    schema = ", ".join(f"{c} long" for c in ("block", "row", "n", *names))
+    return sets.select("row", "shingles").mapInArrow(run, schema)
+
+
+def _hanging(data: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the rows that are ``within`` of another one of their block, and the first row they hang on.
+
+    ``data`` has the columns block, row, n and the fingerprints, and is ordered by block and row.
+    """
+    block, prints = data[:, 0], data[:, 3:].view(np.uint64)
+    left, right = [], []
+    here = np.arange(len(data) - 1)
+    step = 1
+    while len(here := here[here + step < len(data)]):
+        here = here[block[here] == block[here + step]]
+        apart = np.bitwise_count(prints[here] ^ prints[here + step]).sum(axis=1, dtype=np.int64)
+        near = here[apart <= within]
+        left.append(near)
+        right.append(near + step)
+        step += 1
+    a, b = (np.concatenate([np.zeros(0, np.int64), *side]) for side in (left, right))
+    label = np.arange(len(data))
+    while True:
+        least = np.minimum(label[a], label[b])
+        if (least == label[a]).all() and (least == label[b]).all():
+            break
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+    rows = np.unique(np.concatenate([a, b]))
+    return rows, label[rows]
+
+
+def _banded(parts: Iterator[np.ndarray], within: int, counted: int) -> Iterator[np.ndarray]:
+    """(block, first, row, n) of the rows in bands, from rows ordered by block.
+
+    A block of more than ``counted`` rows is one band, whose ``first`` is -1: it goes on as it comes
+    in and is never held whole.
+    """
+
+    def whole(rows: np.ndarray) -> np.ndarray:
+        return np.column_stack([rows[:, 0], np.full(len(rows), -1), rows[:, 1], rows[:, 2]])
+
+    def told(rows: np.ndarray) -> Iterator[np.ndarray]:
+        starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+        large = np.repeat(np.diff(np.r_[starts, len(rows)]) > counted, np.diff(np.r_[starts, len(rows)]))
+        yield whole(rows[large])
+        rest = rows[~large]
+        at, first = _hanging(rest, within)
+        yield np.column_stack([rest[at, 0], rest[first, 1], rest[at, 1], rest[at, 2]])
+
+    held, count, passing = [], 0, None
+    for part in parts:
+        if passing is not None:
+            same = part[:, 0] == passing
+            yield whole(part[same])
+            part = part[~same]
+        held.append(part)
+        count += len(part)
+        if count < max(CHUNK, counted + 1):
+            continue
+        rows = np.concatenate(held)
+        last = np.searchsorted(rows[:, 0], rows[-1, 0])
+        if last:
+            yield from told(rows[:last])
+        rows = rows[last:]
+        if len(rows) > counted:
+            yield whole(rows)
+            passing, rows = rows[0, 0], rows[:0]
+        held, count = [rows], len(rows)
+    if count:
+        yield from told(np.concatenate(held))
+
+
+def _candidates(sets: DataFrame, similarity: float, counted: int = COUNTED) -> DataFrame:
+    """(band, row, n) of the rows that have a candidate, by fingerprints or, if short, by shingles."""
+    blocks = _block_rows(sets, similarity)
+    within = radius(similarity)
+    tasks = math.ceil(sets.count() * band_count(similarity) / TASK_BLOCKS)
+    tasks = max(tasks, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (np.column_stack([c.to_numpy() for c in b.columns]) for b in batches if b.num_rows)
+        for found in _banded(parts, within, counted):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.T], ["block", "first", "row", "n"])
+
+    ordered = blocks.repartition(tasks, "block").sortWithinPartitions("block", "row")
+    near = ordered.mapInArrow(run, "block long, first long, row long, n long")
+    band = F.when(F.col("first") < 0, F.xxhash64("block", "first")).otherwise(F.xxhash64("first"))
+    near = near.select(band.alias("band"), "row", "n").distinct()
+
+    def smallest(shingles: np.ndarray) -> np.ndarray:
+        return shingles[: len(shingles) - math.ceil(len(shingles) * similarity - 1e-6) + 1]
 
-    return rows.mapInArrow(run, f"row long, doc_id {kind}, text_hash long, key long, n long, bands array<long>")
+    sized = sets.withColumn("n", F.expr("octet_length(shingles) div 8"))
+    short = _exploded(sized.where(F.col("n") <= int(SHORT / similarity)), smallest, ("row", "n"))
+    return near.unionAll(short.select(F.xxhash64("shingle").alias("band"), "row", "n"))
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -128,7 +313,9 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 keep.append(common / (len(both) - common) >= similarity)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    whole = pairs.join(sets.toDF("b", "right"), "b").join(sets.toDF("a", "left"), "a")
+    pairs = checked(stored(pairs, "pairs"))
+    meant = [sets.join(checked(stored(pairs.select(c).distinct(), "meant")).toDF("row"), "row", "left_semi") for c in "ab"]
+    whole = pairs.join(meant[1].toDF("b", "right"), "b").join(meant[0].toDF("a", "left"), "a")
     return whole.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
@@ -237,7 +424,7 @@ def _reaching(members: DataFrame, shapes: DataFrame, similarity: float) -> DataF
     shared = F.col("n") - F.col("lone")
     reach = F.floor(shared * ((1 + similarity) / similarity) - F.col("n") + 1e-6).alias("reach")
     known = members.join(shapes.select("row", "lone"), "row")
-    known = stored(known.select("band", "row", "n", "size", reach), "reaching")
+    known = stored(known.select("band", "row", "n", reach), "reaching")
     while True:
         least = known.groupBy("band").agg(F.min("n").alias("least"), F.count("*").alias("held"))
         near = known.join(least, "band").where("reach >= least AND held > 1")
@@ -308,8 +495,8 @@ def near_copy_links(
 ) -> DataFrame:
     """(a, b) links of similar rows, enough for the components over all pairs that share a band.
 
-    ``members`` is (band, row, n, size): a row for each band of a row, the number of its
-    shingles and the number of rows in the band. ``sets`` is (row, shingles).
+    ``members`` is (band, row, n): a row for each band of a row, and the number of its
+    shingles. ``sets`` is (row, shingles).
     """
     shapes = _shapes(sets)
     near = _reaching(members, shapes, similarity)
@@ -342,14 +529,14 @@ def near_copy_groups(
     rows = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     # Rows are named once, with their texts, so that names hold whatever is computed again.
     rows = stored(rows.withColumn("text_hash", F.xxhash64("text")), "rows")
-    marked = stored(_sketches(rows, width, band_count(similarity)), "sketches")
+    marked = stored(_sketches(rows, width), "sketches")
     classes = stored(marked.groupBy("key").agg(F.min("row").alias("row"), F.min("doc_id").alias("low")), "classes")
-    heads = marked.select("row", "n", "bands").join(classes.select("row"), "row", "left_semi")
-    keyed = heads.select("row", "n", F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(keyed.join(shared, "band"), "members")
-    wanted = checked(stored(members.select("row").distinct(), "wanted"))
+    heads = marked.select("row", "n", "low").join(classes.select("row"), "row", "left_semi")
+    wanted = checked(stored(_sharing(heads, similarity), "wanted"))
     sets = stored(_sets(rows.select("row", "text").join(wanted, "row", "left_semi"), width), "sets")
+    members = stored(_candidates(sets, similarity), "members")
+    sets = sets.join(checked(stored(members.select("row").distinct(), "met")), "row", "left_semi")
+    sets = stored(sets.select("row", "shingles"), "sets")
     known = connected_components(near_copy_links(members, sets, similarity, paired), "a", "b").toDF("row", "found")
     named = classes.join(known, "row", "left").select("key", "low", F.coalesce("found", "row").alias("root"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))

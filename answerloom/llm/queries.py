@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerloom.llm import (
-    bpe, decontaminate, embeddings, language, negatives, quality, secrets, sharding, simhash,
-    substrings, suffixes, token_store, turn_tries,
+    bpe, decontaminate, embeddings, language, near_copies, negatives, quality, secrets, sharding,
+    simhash, substrings, suffixes, token_store, turn_tries,
 )
 from answerloom.llm.common import held_out, table
 from answerloom.session import scratch_path
@@ -31,7 +31,8 @@ def quality_model(spark: SparkSession, folder: str, docs: DataFrame) -> quality.
     """Fitted on the labelled rows outside the held-out fifth."""
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
     rows = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")))
-    return quality.fit_quality(rows.join(labels, "doc_id"))
+    # Labels that may be sent go to the texts, which then stay where they are.
+    return quality.fit_quality(rows.join(near_copies.checked(labels), "doc_id"))
 
 
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
