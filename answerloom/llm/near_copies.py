@@ -7,10 +7,9 @@ whose ``SKETCH`` smallest shingles hardly occur in other sketches has no near co
 Every other class has several 64-bit SimHash fingerprints, each cut into four blocks of 16 bits:
 as many as miss a pair at the threshold with a chance of ``MISSED``. Two rows of a block are
 candidates if their first fingerprints differ in no more bits than a pair at the threshold does
-with the same chance. Candidates that hang together in a block join the band of the smallest row
-among them, so blocks that hold the same copies make one band. Sets of few shingles, whose bits
-depend on each other's ties, meet by their smallest shingles instead, as many as a similar pair
-cannot avoid.
+with the same chance. Candidates that hang together in a block are a band; bands of the same rows
+are one. Sets of few shingles, whose bits depend on each other's ties, meet by their smallest
+shingles instead, as many as a similar pair cannot avoid.
 
 Members of a band are not compared pair by pair at first. A shingle that only one member of
 all bands has cannot be shared, which bounds the similarity a row can reach: rows that cannot
@@ -197,6 +196,14 @@ def _block_rows(sets: DataFrame, similarity: float) -> DataFrame:
     return sets.select("row", "shingles").mapInArrow(run, schema)
 
 
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """64-bit values whose sums tell sets of whole numbers apart."""
+    found = values.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        found = (found ^ (found >> np.uint64(shift))) * np.uint64(factor)
+    return (found ^ (found >> np.uint64(31))).view(np.int64)
+
+
 def _hanging(data: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of the rows that are ``within`` of another one of their block, and the first row they hang on.
 
@@ -227,14 +234,14 @@ def _hanging(data: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _banded(parts: Iterator[np.ndarray], within: int, counted: int) -> Iterator[np.ndarray]:
-    """(block, first, row, n) of the rows in bands, from rows ordered by block.
+    """(band, row, n) of the rows in bands, from rows ordered by block and row.
 
-    A block of more than ``counted`` rows is one band, whose ``first`` is -1: it goes on as it comes
-    in and is never held whole.
+    A band is named after its rows, whatever its block. A block of more than ``counted`` rows is one
+    band, named after the block: it goes on as it comes in and is never held whole.
     """
 
     def whole(rows: np.ndarray) -> np.ndarray:
-        return np.column_stack([rows[:, 0], np.full(len(rows), -1), rows[:, 1], rows[:, 2]])
+        return np.column_stack([_mixed(~rows[:, 0]), rows[:, 1], rows[:, 2]])
 
     def told(rows: np.ndarray) -> Iterator[np.ndarray]:
         starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
@@ -242,7 +249,9 @@ def _banded(parts: Iterator[np.ndarray], within: int, counted: int) -> Iterator[
         yield whole(rows[large])
         rest = rows[~large]
         at, first = _hanging(rest, within)
-        yield np.column_stack([rest[at, 0], rest[first, 1], rest[at, 1], rest[at, 2]])
+        names = np.zeros(len(rest), dtype=np.int64)
+        np.add.at(names, first, _mixed(rest[at, 1]))
+        yield np.column_stack([_mixed(names[first]), rest[at, 1], rest[at, 2]])
 
     held, count, passing = [], 0, None
     for part in parts:
@@ -277,12 +286,10 @@ def _candidates(sets: DataFrame, similarity: float, counted: int = COUNTED) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = (np.column_stack([c.to_numpy() for c in b.columns]) for b in batches if b.num_rows)
         for found in _banded(parts, within, counted):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.T], ["block", "first", "row", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.T], ["band", "row", "n"])
 
     ordered = blocks.repartition(tasks, "block").sortWithinPartitions("block", "row")
-    near = ordered.mapInArrow(run, "block long, first long, row long, n long")
-    band = F.when(F.col("first") < 0, F.xxhash64("block", "first")).otherwise(F.xxhash64("first"))
-    near = near.select(band.alias("band"), "row", "n").distinct()
+    near = ordered.mapInArrow(run, "band long, row long, n long").distinct()
 
     def smallest(shingles: np.ndarray) -> np.ndarray:
         return shingles[: len(shingles) - math.ceil(len(shingles) * similarity - 1e-6) + 1]
