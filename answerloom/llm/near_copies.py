@@ -7,9 +7,11 @@ whose ``SKETCH`` smallest shingles hardly occur in other sketches has no near co
 Every other class has several 64-bit SimHash fingerprints, each cut into four blocks of 16 bits:
 as many as miss a pair at the threshold with a chance of ``MISSED``. Two rows of a block are
 candidates if their first fingerprints differ in no more bits than a pair at the threshold does
-with the same chance. Candidates that hang together in a block are a band; bands of the same rows
-are one. Sets of few shingles, whose bits depend on each other's ties, meet by their smallest
-shingles instead, as many as a similar pair cannot avoid.
+with the same chance, and their sizes allow the similarity. Candidates that hang together, over
+all blocks, are a band: a row has one, however many blocks it shares. The blocks of the first
+``EARLY`` fingerprints are joined first; in the others only rows that are still apart give links.
+Sets of few shingles, whose bits depend on each other's ties, meet by their smallest shingles
+instead, as many as a similar pair cannot avoid.
 
 Members of a band are not compared pair by pair at first. A shingle that only one member of
 all bands has cannot be shared, which bounds the similarity a row can reach: rows that cannot
@@ -44,7 +46,9 @@ SIMILARITY = 0.8
 MISSED = 1e-6
 BLOCK_BITS = 16
 #: Fingerprints that travel with a block, for the distance of what meets there.
-CHECKED = 2
+CHECKED = 4
+#: Fingerprints whose blocks are joined before the others.
+EARLY = 8
 #: Smallest shingles of a set that say whether it shares any with others.
 SKETCH = 16
 #: Sets of at most so many shingles meet by shingles, not by fingerprints.
@@ -56,8 +60,9 @@ TASK_BLOCKS = 2_000_000
 CHUNK = 200_000
 PAIRED = 32
 PIVOTS = 2
-#: A round that joins fewer than this share of its rows is the last one.
+#: A round that finds fewer links than this share of its rows, or than this number, is the last one.
 WORTHWHILE = 0.01
+FEW = 32
 #: Rows of a table that may be broadcast: 16 bytes each.
 SENT_ROWS = 2_000_000
 #: Classes of shingles, by hash, whose counts are compared before sets are.
@@ -98,9 +103,9 @@ def _at_most(n: int, p: float, k: int) -> float:
     return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
 
 
-def radius(similarity: float) -> int:
-    """Differing bits in ``CHECKED`` fingerprints that a similar pair exceeds with a quarter of ``MISSED``."""
-    bits, p = 64 * CHECKED, _differing(similarity)
+def radius(similarity: float, prints: int = 2) -> int:
+    """Differing bits in ``prints`` fingerprints that a similar pair exceeds with a quarter of ``MISSED``."""
+    bits, p = 64 * prints, _differing(similarity)
     return next(k for k in range(bits + 1) if 1 - _at_most(bits, p, k) <= MISSED / 4)
 
 
@@ -170,10 +175,10 @@ def _sharing(heads: DataFrame, similarity: float) -> DataFrame:
     return heads.select("row", "n").join(found, "row").where(F.col("common") >= need).select("row")
 
 
-def _block_rows(sets: DataFrame, similarity: float) -> DataFrame:
-    """(block, row, n, print_0, …): a row for each fingerprint block of each set that is not short."""
-    bands = band_count(similarity)
+def _block_rows(sets: DataFrame, similarity: float, first: int, last: int) -> DataFrame:
+    """(block, row, n, print_0, …): a row for each block of fingerprints ``first`` to ``last`` of each set that is not short."""
     each = 64 // BLOCK_BITS
+    bands = each * (last - first)
     names = [f"print_{i}" for i in range(CHECKED)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,10 +187,10 @@ def _block_rows(sets: DataFrame, similarity: float) -> DataFrame:
             at = np.array([i for i, s in enumerate(found) if len(s) > SHORT], dtype=np.int64)
             if not len(at):
                 continue
-            prints = np.array([fingerprints(found[i], bands // each) for i in at])
+            prints = np.array([fingerprints(found[i], max(last, CHECKED)) for i in at])
             owner = pa.array(np.repeat(at, bands))
             columns = [
-                pa.array(np.concatenate([_blocks(p) for p in prints])),
+                pa.array(np.concatenate([_blocks(p[:last])[each * first :] for p in prints])),
                 batch.column("row").take(owner),
                 pa.array(np.repeat([len(found[i]) for i in at], bands)),
                 *(pa.array(np.repeat(prints[:, i], bands).view(np.int64)) for i in range(CHECKED)),
@@ -204,19 +209,23 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return (found ^ (found >> np.uint64(31))).view(np.int64)
 
 
-def _hanging(data: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
+def _hanging(data: np.ndarray, within: int, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of the rows that are ``within`` of another one of their block, and the first row they hang on.
 
     ``data`` has the columns block, row, n and the fingerprints, and is ordered by block and row.
+    Rows of one name are not compared.
     """
-    block, prints = data[:, 0], data[:, 3:].view(np.uint64)
+    block, name, size, prints = data[:, 0], data[:, 1], data[:, 2], data[:, 3:].view(np.uint64)
     left, right = [], []
     here = np.arange(len(data) - 1)
     step = 1
     while len(here := here[here + step < len(data)]):
         here = here[block[here] == block[here + step]]
-        apart = np.bitwise_count(prints[here] ^ prints[here + step]).sum(axis=1, dtype=np.int64)
-        near = here[apart <= within]
+        sizes = size[here], size[here + step]
+        meets = np.minimum(*sizes) >= np.maximum(*sizes) * similarity - 1e-6
+        met = here[meets & (name[here] != name[here + step])]
+        apart = np.bitwise_count(prints[met] ^ prints[met + step]).sum(axis=1, dtype=np.int64)
+        near = met[apart <= within]
         left.append(near)
         right.append(near + step)
         step += 1
@@ -233,7 +242,9 @@ def _hanging(data: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, label[rows]
 
 
-def _banded(parts: Iterator[np.ndarray], within: int, counted: int) -> Iterator[np.ndarray]:
+def _banded(
+    parts: Iterator[np.ndarray], within: int, counted: int, similarity: float = 0.0
+) -> Iterator[np.ndarray]:
     """(band, row, n) of the rows in bands, from rows ordered by block and row.
 
     A band is named after its rows, whatever its block. A block of more than ``counted`` rows is one
@@ -248,7 +259,7 @@ def _banded(parts: Iterator[np.ndarray], within: int, counted: int) -> Iterator[
         large = np.repeat(np.diff(np.r_[starts, len(rows)]) > counted, np.diff(np.r_[starts, len(rows)]))
         yield whole(rows[large])
         rest = rows[~large]
-        at, first = _hanging(rest, within)
+        at, first = _hanging(rest, within, similarity)
         names = np.zeros(len(rest), dtype=np.int64)
         np.add.at(names, first, _mixed(rest[at, 1]))
         yield np.column_stack([_mixed(names[first]), rest[at, 1], rest[at, 2]])
@@ -276,27 +287,58 @@ def _banded(parts: Iterator[np.ndarray], within: int, counted: int) -> Iterator[
         yield from told(np.concatenate(held))
 
 
-def _candidates(sets: DataFrame, similarity: float, counted: int = COUNTED) -> DataFrame:
-    """(band, row, n) of the rows that have a candidate, by fingerprints or, if short, by shingles."""
-    blocks = _block_rows(sets, similarity)
-    within = radius(similarity)
-    tasks = math.ceil(sets.count() * band_count(similarity) / TASK_BLOCKS)
+def _links(bands: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """(a, b): each row of a band with the band's first one, from what ``_banded`` gives."""
+    passing, hub = None, 0
+    for found in bands:
+        if not len(found):
+            continue
+        names, first, inverse = np.unique(found[:, 0], return_index=True, return_inverse=True)
+        hubs = found[first, 1]
+        hubs[names == passing] = hub  # the band of a large block goes on
+        passing, hub = found[-1, 0], hubs[inverse[-1]]
+        links = np.column_stack([hubs[inverse], found[:, 1]])
+        yield np.unique(links[links[:, 0] != links[:, 1]], axis=0)
+
+
+def _block_links(sets: DataFrame, similarity: float, first: int, last: int, counted: int) -> DataFrame:
+    """(a, b) links that join the candidates of the blocks of fingerprints ``first`` to ``last``."""
+    blocks = _block_rows(sets, similarity, first, last)
+    within = radius(similarity, CHECKED)
+    tasks = math.ceil(sets.count() * (last - first) * (64 // BLOCK_BITS) / TASK_BLOCKS)
     tasks = max(tasks, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = (np.column_stack([c.to_numpy() for c in b.columns]) for b in batches if b.num_rows)
-        for found in _banded(parts, within, counted):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.T], ["band", "row", "n"])
+        for found in _links(_banded(parts, within, counted, similarity)):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.T], ["a", "b"])
 
     ordered = blocks.repartition(tasks, "block").sortWithinPartitions("block", "row")
-    near = ordered.mapInArrow(run, "band long, row long, n long").distinct()
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
+def _candidates(sets: DataFrame, similarity: float, counted: int = COUNTED) -> DataFrame:
+    """(band, row, n) of the rows that have a candidate, by fingerprints or, if short, by shingles."""
+    prints = band_count(similarity) * BLOCK_BITS // 64
+    early = min(EARLY, prints)
+    bands = connected_components(_block_links(sets, similarity, 0, early, counted), "a", "b")
+    bands = checked(stored(bands.toDF("row", "band"), "bands"))
+    # From here on a set goes by the name of its band.
+    named = sets.join(bands, "row", "left").select("row", F.coalesce("band", "row").alias("band"), "shingles")
+    rest = named.select(F.col("band").alias("row"), "shingles")
+    joined = connected_components(_block_links(rest, similarity, early, prints, counted), "a", "b")
+    joined = checked(stored(joined.toDF("band", "joined"), "bands"))
+    size = F.expr("octet_length(shingles) div 8").alias("n")
+    near = named.select("row", "band", size).join(joined, "band", "left")
+    near = near.select(F.coalesce("joined", "band").alias("band"), "row", "n")
 
     def smallest(shingles: np.ndarray) -> np.ndarray:
         return shingles[: len(shingles) - math.ceil(len(shingles) * similarity - 1e-6) + 1]
 
-    sized = sets.withColumn("n", F.expr("octet_length(shingles) div 8"))
-    short = _exploded(sized.where(F.col("n") <= int(SHORT / similarity)), smallest, ("row", "n"))
-    return near.unionAll(short.select(F.xxhash64("shingle").alias("band"), "row", "n"))
+    short = _exploded(sets.withColumn("n", size).where(F.col("n") <= int(SHORT / similarity)), smallest, ("row", "n"))
+    near = near.unionAll(short.select(F.xxhash64("shingle").alias("band"), "row", "n"))
+    met = near.groupBy("band").agg(F.count("*").alias("held")).where("held > 1").select("band")
+    return near.join(met, "band", "left_semi")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -462,9 +504,12 @@ def _prefix_members(members: DataFrame, sets: DataFrame, similarity: float) -> D
 
     rare = stored(_exploded(rows, rarest, names).withColumnRenamed("shingle", "band"), "rare")
     shared = rare.groupBy("band").agg(
-        F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")
-    )
-    shared = shared.where("low < high").select("band", "size")
+        F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"),
+        F.bit_xor(F.xxhash64("row")).alias("rows"),
+    )
+    # Shingles that the same rows share are one band.
+    shared = shared.where("low < high").groupBy("size", "low", "high", "rows").agg(F.min("band").alias("band"))
+    shared = shared.select("band", "size")
     return stored(rare.join(shared, "band"), "prefixes")
 
 
@@ -492,7 +537,7 @@ def _rounds(members: DataFrame, sets: DataFrame, similarity: float):
             names = left.select("row", "component").distinct()
             between = new.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b")
             left = _open(left, between.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        if found < WORTHWHILE * rows:
+        if found < max(WORTHWHILE * rows, FEW):
             return links, left
         turn += 1
 

@@ -63,3 +63,27 @@ def test_short_sets_meet_by_shingles(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_copies.near_copy_groups(table).collect()}
     assert got == {i: 2 * (i // 2) if len(rows[i - i % 2][1].split()) >= 8 else i for i, _ in rows}
+
+
+def test_a_row_has_one_band_however_many_blocks_it_shares(spark):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 120)
+    rows = []
+    for i in range(200):
+        own = np.concatenate([base[rng.random(120) < 0.95], rng.integers(0, 1 << 63, 4)])
+        rows.append((i, np.sort(own.astype(np.uint64)).tobytes()))
+    for i in range(200, 300):
+        rows.append((i, np.sort(rng.integers(0, 1 << 63, 120).astype(np.uint64)).tobytes()))
+    sets = spark.createDataFrame(rows, "row long, shingles binary")
+    for counted in (4096, 20):  # a block that is not counted may bring in others
+        got = near_copies._candidates(sets, 0.8, counted).collect()
+        found = {r.row for r in got}
+        assert found >= set(range(200)) and len(got) == len(found)
+        assert found == set(range(200)) or counted == 20
+        assert len({r.band for r in got}) == 1 and all(r.n == len(rows[r.row][1]) // 8 for r in got)
+
+
+def test_links_of_a_block_that_comes_in_parts():
+    parts = [np.array(x).reshape(-1, 3) for x in ([], [[5, 1, 9], [5, 2, 9]], [[5, 3, 9]], [[7, 2, 9], [8, 4, 9], [7, 6, 9]])]
+    links = np.concatenate(list(near_copies._links(iter(parts))))
+    assert links.tolist() == [[1, 2], [1, 3], [2, 6]]
