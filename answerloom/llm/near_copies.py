@@ -62,7 +62,7 @@ PAIRED = 32
 PIVOTS = 2
 #: A round that finds fewer links than this share of its rows, or than this number, is the last one.
 WORTHWHILE = 0.01
-FEW = 32
+FEW = 512
 #: Rows of a table that may be broadcast: 16 bytes each.
 SENT_ROWS = 2_000_000
 #: Classes of shingles, by hash, whose counts are compared before sets are.
