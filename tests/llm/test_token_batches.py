@@ -1,0 +1,42 @@
+"""Batches of texts to token ids: every piece is looked up once a batch."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from answerloom.llm import queries, token_store
+
+SPECIAL = (("<|endoftext|>", 50256),)
+
+
+def test_a_batch_gives_the_ids_of_whole_texts():
+    tokenizers = pytest.importorskip("tokenizers")
+    whole = tokenizers.Tokenizer.from_file(queries.tokenizer_file("byte_bpe_50k.json"))
+    encode = token_store.PieceEncoder(queries.tokenizer_file("byte_bpe_50k.tiktoken"), SPECIAL)
+    rng = random.Random(4)
+    parts = ["a", "b", " ", "  ", "\n", "é", "\xa0", "don't", SPECIAL[0][0], "12", "中", "x y", " z", "!?"]
+    texts = [None, "", " ", "a", " a", "a ", *("".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(500))]
+    got = encode.batch(pa.array(["other", *texts]).slice(1))
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text or "", add_special_tokens=False).ids
+    assert encode.batch(pa.array([], pa.string())) == []
+
+
+def test_a_piece_is_looked_up_once_a_batch():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            self.asked += 1
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    encode = token_store.PieceEncoder(queries.tokenizer_file("byte_bpe_50k.tiktoken"), SPECIAL)
+    encode.known = Counted()
+    encode.batch(pa.array(["one two three two"] * 50))
+    assert encode.known.asked == 3
