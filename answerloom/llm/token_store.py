@@ -20,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -127,56 +126,34 @@ class PieceEncoder:
         ids = self.library.encode(text, allowed_special="all")
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _uneven(self, text: bytes) -> bool:
-        return (
+    def __call__(self, text: bytes | None) -> bytes:
+        """The ids of a text as little-endian 32-bit integers; null is empty."""
+        if not text:
+            return b""
+        whole = (
             text.endswith(b" ")
             or any(blank in text for blank in _UNEVEN)
             or any(name in text for name in self.names)
             or (not text.isascii() and _WIDE_BLANK.search(text.decode()) is not None)
         )
-
-    def _spaced(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of each piece after a space."""
-        known, plain, out = self.known, self.library.encode_ordinary, []
-        if len(known) > KNOWN_PIECES:
-            known.clear()
-        for piece in pieces:
-            ids = known.get(piece)
-            if ids is None:
-                ids = known[piece] = np.array(plain(" " + piece.decode()), dtype="<u4").tobytes()
-            out.append(ids)
-        return out
-
-    def __call__(self, text: bytes | None) -> bytes:
-        """The ids of a text as little-endian 32-bit integers; null is empty."""
-        return self.batch(pa.array([text], pa.binary()).cast(pa.string()))[0]
-
-    def batch(self, texts: pa.Array) -> list[bytes]:
-        """The ids of each text; a piece is looked up once for all texts."""
-        plain = texts.cast(pa.binary()).to_pylist()
-        whole = [bool(t) and self._uneven(t) for t in plain]
-        out = [self._direct(t.decode()) if w else b"" for t, w in zip(plain, whole, strict=True)]
-        at = [i for i, t in enumerate(plain) if t and not whole[i]]
-        if not at:
-            return out
-        split = pc.split_pattern(texts.take(pa.array(at)), " ")
-        coded = split.flatten().dictionary_encode()
-        index = coded.indices.to_numpy()
-        ids = self._spaced(coded.dictionary.cast(pa.binary()).to_pylist())
-        held = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-        place = np.cumsum(held) - held
-        ends = np.cumsum(pc.list_value_length(split).to_numpy())
-        first = np.r_[0, ends[:-1]]
-        count = held[index]
-        count[first] = 0  # no space before the first piece of a text
-        done = np.cumsum(count)
-        taken = np.arange(done[-1]) + np.repeat(place[index] - done + count, count)
-        data = np.frombuffer(b"".join(ids), dtype="<u4")[taken].tobytes()
-        begins, stops = (4 * done[first]).tolist(), (4 * done[ends - 1]).tolist()
-        for i, start, stop in zip(at, begins, stops, strict=True):
-            head = plain[i].partition(b" ")[0]
-            out[i] = (self._direct(head.decode()) if head else b"") + data[start:stop]
-        return out
+        if whole:
+            return self._direct(text.decode())
+        first, *others = text.split(b" ")
+        out = [self._direct(first.decode())] if first else []
+        known = self.known
+        try:
+            out += map(known.__getitem__, others)
+        except KeyError:
+            if len(known) > KNOWN_PIECES:
+                known.clear()
+            plain = self.library.encode_ordinary
+            for piece in others:
+                if piece not in known:
+                    ids = plain(" " + piece.decode())
+                    known[piece] = np.array(ids, dtype="<u4").tobytes()
+            out = [self._direct(first.decode())] if first else []
+            out += map(known.__getitem__, others)
+        return b"".join(out)
 
 
 @functools.lru_cache(maxsize=2)
@@ -225,9 +202,9 @@ def write_tokens(
 
         for batch in slices(batches, "text", BATCH_BYTES):
             keys = batch.column("doc_id")
-            for i, found in enumerate(encode.batch(batch.column("text"))):
+            for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                 ids.append(keys.slice(i, 1))
-                coded.append(found + last)
+                coded.append(encode(text) + last)
                 held += len(coded[-1]) // 4
                 if held >= SEGMENT_TOKENS:
                     yield flush()
