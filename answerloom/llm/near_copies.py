@@ -20,9 +20,12 @@ reach any other row of their band leave it. In every round a row is compared wit
 shares most bands with. The first pivots are the rows that meet most others, the later ones
 are drawn. Rounds go on while they join components; a band whose members are one component
 is done. Of what is left, bands of at most ``PAIRED`` rows give all
-pairs of different components. Larger ones are cut into groups of rows that share one of
-their rarest shingles, as many as a similar pair cannot avoid (prefix filter, which loses
-none); these groups take rounds of their own before their pairs are compared.
+pairs of different components. In larger ones a row is written as its difference from the
+shingles that over half of the band holds: two sets differ where their differences do, so what
+the copies of one text have in common takes no part. They are cut into groups of rows that
+share one of the rarest shingles of their differences, as many as a similar pair cannot avoid
+(prefix filter, which loses none). Before, all rows are compared with the one whose difference is
+smallest; these groups take rounds of their own, if large, before their pairs are compared. Pairs whose parities of shingles differ too often are not (a bound, exact as well).
 """
 
 from __future__ import annotations
@@ -65,8 +68,8 @@ WORTHWHILE = 0.01
 FEW = 512
 #: Rows of a table that may be broadcast: 16 bytes each.
 SENT_ROWS = 2_000_000
-#: Classes of shingles, by hash, whose counts are compared before sets are.
-CLASSES = 32
+#: Classes of shingles, by hash, whose parities are compared before sets are: 64 in a word.
+CLASSES = 2048
 #: Counters of shingles, by hash, that the prefix order goes by.
 COUNTERS = 1 << 18
 BATCH_BYTES = 4 << 20
@@ -378,8 +381,13 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _with_order(members: DataFrame, turn: int) -> DataFrame:
-    """``members`` with the order of pivots: who meets most rows comes first, later ones are drawn."""
+    """``members`` with the order of pivots: who meets most rows comes first, later ones are drawn.
+
+    Where differences are known, who has the smallest comes first.
+    """
     drawn = F.xxhash64("row", F.lit(turn))
+    if "e" in members.columns:
+        return members.withColumn("order", F.struct("e", drawn.alias("drawn")))
     if turn:
         return members.withColumn("order", F.struct(F.lit(0).cast("long").alias("met"), drawn.alias("drawn")))
     met = members.groupBy("row").agg(F.sum("size").alias("met"))
@@ -409,8 +417,8 @@ def _pivot_pairs(members: DataFrame, turn: int) -> DataFrame:
 def _sided(rows: DataFrame, shapes: DataFrame, similarity: float) -> DataFrame:
     """Pairs of ``rows`` that share a band, are of different components and may be similar.
 
-    Two sets differ in all their lone shingles, and in each class by the difference of their
-    other shingles at least.
+    Two sets differ in all their lone shingles, and once at least in each class where one has
+    an even number of others and one an odd number.
     """
     rows = rows.join(shapes, "row")
     left, right = (
@@ -421,45 +429,54 @@ def _sided(rows: DataFrame, shapes: DataFrame, similarity: float) -> DataFrame:
     )
     close = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-6
     close &= (F.col("n_b") <= F.col("reach_a")) & (F.col("n_a") <= F.col("reach_b"))
-    apart = F.zip_with("shape_a", "shape_b", lambda x, y: F.abs(x - y))
-    apart = F.aggregate(apart, F.col("lone_a") + F.col("lone_b"), lambda s, x: s + x)
-    close &= apart <= (F.col("n_a") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    odd = F.zip_with("shape_a", "shape_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(odd, F.col("lone_a") + F.col("lone_b"), lambda s, x: s + x)
+    close &= apart <= _apart(F.col("n_a") + F.col("n_b"), similarity)
     different = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))
     return left.join(right, "band").where(different & close).select("a", "b")
 
 
-def _exploded(rows: DataFrame, pick, names: tuple[str, ...]) -> DataFrame:
-    """``names`` and shingle for the shingles that ``pick`` takes of each row's set."""
+def _apart(sizes, similarity: float):
+    """Shingles in which two similar sets of these sizes together may differ."""
+    return sizes * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def _exploded(rows: DataFrame, pick, names: tuple[str, ...], *given: str) -> DataFrame:
+    """``names`` and shingle for the shingles that ``pick`` takes of each row's set and columns ``given``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "shingles", BATCH_BYTES):
-            sets = [pick(np.frombuffer(s, np.uint64)) for s in batch.column("shingles").to_pylist()]
+            taken = zip(*(batch.column(c).to_pylist() for c in ("shingles", *given)), strict=True)
+            sets = [pick(np.frombuffer(s, np.uint64), *more) for s, *more in taken]
             owner = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
             columns = [batch.column(c).take(owner) for c in names]
             values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(values)], [*names, "shingle"])
 
     schema = ", ".join(f"{c} long" for c in (*names, "shingle"))
-    return rows.select(*names, "shingles").mapInArrow(run, schema)
+    return rows.select(*dict.fromkeys((*names, *given)), "shingles").mapInArrow(run, schema)
 
 
 def _shapes(sets: DataFrame) -> DataFrame:
-    """(row, lone, shape): a row's shingles that no other row has, and the count of the others by class."""
+    """(row, lone, shape): a row's shingles that no other row has, and the parity of the others by class."""
     held = _exploded(sets, lambda s: s, ("row",)).groupBy("shingle").agg(F.count("*").alias("held"), F.min("row").alias("row"))
-    kind = F.pmod("shingle", F.lit(CLASSES))
+    word = F.expr(f"pmod(shingle, {CLASSES}) div 64")
+    bit = F.expr("shiftleft(1L, cast(pmod(shingle, 64) as int))")
     alone = held.where("held = 1").groupBy("row").agg(
-        F.count("*").alias("lone"), F.array(*[F.count_if(kind == k) for k in range(CLASSES)]).alias("lone_shape")
+        F.count("*").alias("lone"),
+        F.array(*[F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))) for k in range(CLASSES // 64)]).alias("lone_shape"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_sets = [np.frombuffer(s, np.int64) % CLASSES for s in batch.column("shingles").to_pylist()]
-            counts = [np.bincount(s, minlength=CLASSES) for s in all_sets]
-            columns = [batch.column("row"), pa.array(counts, pa.list_(pa.int64()))]
+            odd = [np.packbits(np.bincount(s, minlength=CLASSES) % 2 == 1, bitorder="little").view("<i8") for s in all_sets]
+            columns = [batch.column("row"), pa.array(odd, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["row", "whole"])
 
     whole = sets.mapInArrow(run, "row long, whole array<long>").join(alone, "row", "left")
-    shape = F.when(F.col("lone").isNull(), F.col("whole")).otherwise(F.zip_with("whole", "lone_shape", lambda x, y: x - y))
+    others = F.zip_with("whole", "lone_shape", lambda x, y: x.bitwiseXOR(y))
+    shape = F.when(F.col("lone").isNull(), F.col("whole")).otherwise(others)
     lone = F.coalesce("lone", F.lit(0).cast("long")).alias("lone")
     return stored(whole.select("row", lone, shape.alias("shape")), "shapes")
 
@@ -484,25 +501,76 @@ def _reaching(members: DataFrame, shapes: DataFrame, similarity: float) -> DataF
         known = near
 
 
-def _prefix_members(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Rows of ``members`` by the rarest shingles of each, as bands that every similar pair shares.
+def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``members`` with e and shingles: in how many and which ones a row differs from what its band usually holds.
+
+    Usual are the shingles of over half of the band's rows, at most twice as many as a row has
+    on average.
+    """
+    names = ("band", "row", "component", "n", "reach", "size")
+    wide = stored(members.select(*names).join(sets, "row"), "wide")
+    usual = _exploded(wide, lambda s: s, ("band", "size")).groupBy("band", "size", "shingle").agg(F.count("*").alias("held"))
+    usual = usual.where("2 * held > size").groupBy("band").agg(F.collect_list("shingle").alias("usual"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "shingles", BATCH_BYTES):
+            found = zip(batch.column("shingles").to_pylist(), batch.column("usual").to_pylist(), strict=True)
+            found = [np.setxor1d(np.frombuffer(s, np.int64), np.array(u or [], dtype=np.int64), True) for s, u in found]
+            columns = [
+                *(batch.column(c) for c in names),
+                pa.array([len(x) for x in found], pa.int64()),
+                pa.array([x.tobytes() for x in found], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "e", "shingles"])
+
+    schema = ", ".join(f"{c} long" for c in (*names, "e")) + ", shingles binary"
+    known = wide.join(usual, "band", "left").select(*names, "shingles", "usual")
+    return stored(known.mapInArrow(run, schema), "differences")
+
+
+def _needed(members: DataFrame, similarity: float) -> DataFrame:
+    """``members`` with what a row's difference must share with that of a similar row of another component.
+
+    Two sets whose differences have e and f shingles differ in e + f, less twice those that
+    the differences share. Nothing need be shared where ``needed`` is less than one.
+    """
+    first = members.groupBy("band").agg(
+        F.min_by("component", F.struct("e", "component")).alias("of"), F.min("e").alias("least"), F.max("n").alias("most")
+    )
+    known = members.join(first, "band")
+    other = known.where(F.col("component") != F.col("of")).groupBy("band").agg(F.min("e").alias("other"))
+    within = _apart(F.col("n") + F.least("most", F.col("n") / similarity), similarity)
+    partner = F.when(F.col("component") == F.col("of"), F.col("other")).otherwise(F.col("least"))
+    needed = (F.col("e") + F.greatest(partner, F.col("e") - within) - within) / 2
+    return known.join(other, "band").withColumn("needed", F.ceil(needed - 1e-6))
+
+
+def _prefix_members(members: DataFrame, differences: DataFrame, similarity: float) -> DataFrame:
+    """Rows of ``members`` by the rarest shingles in their differences, as bands that every similar pair shares.
 
     Shingles are ordered by the count of their counter, then by value: the same order for all
     rows, which is all that the filter needs. There are ``COUNTERS`` counters at any size.
+    Rows that may be similar without sharing any part of their differences share shingle 0.
     """
-    names = ("row", "component", "n", "reach")
-    rows = stored(members.select(*names).distinct().join(sets, "row"), "wide")
+    names = ("band", "row", "component", "n", "reach")
+    rows = _needed(members, similarity).select(*names, "needed")
+    rows = stored(rows.join(differences.select("band", "row", "shingles"), ["band", "row"]), "wide")
     counter = F.pmod("shingle", F.lit(COUNTERS)).alias("counter")
     counted = _exploded(rows, lambda s: s, ("row",)).groupBy(counter).agg(F.count("*").alias("held")).collect()
     held = np.zeros(COUNTERS, dtype=np.int64)
     for r in counted:
         held[r.counter] = r.held
 
-    def rarest(shingles: np.ndarray) -> np.ndarray:
-        most = len(shingles) - math.ceil(len(shingles) * similarity - 1e-6) + 1
-        return shingles[np.lexsort((shingles, held[shingles.view(np.int64) % COUNTERS]))[:most]]
+    def rarest(shingles: np.ndarray, needed: int) -> np.ndarray:
+        count = held[shingles.view(np.int64) % COUNTERS]
+        if (count > 1).sum() < needed:
+            return shingles[:0]
+        first = np.lexsort((shingles, count))[: len(shingles) - max(needed, 1) + 1]
+        found = shingles[first[count[first] > 1]]
+        return found if needed > 0 else np.append(found, np.uint64(0))
 
-    rare = stored(_exploded(rows, rarest, names).withColumnRenamed("shingle", "band"), "rare")
+    rare = _exploded(rows, rarest, names, "needed").withColumn("band", F.xxhash64("band", "shingle")).drop("shingle")
+    rare = stored(rare, "rare")
     shared = rare.groupBy("band").agg(
         F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"),
         F.bit_xor(F.xxhash64("row")).alias("rows"),
@@ -523,8 +591,8 @@ def _open(members: DataFrame, links: DataFrame) -> DataFrame:
     return stored(named.join(several, "band", "left_semi"), "open")
 
 
-def _rounds(members: DataFrame, sets: DataFrame, similarity: float):
-    """The links that rounds of pivots find, and the members of the bands that stay open."""
+def _rounds(members: DataFrame, sets: DataFrame, similarity: float, most: int | None = None):
+    """The links that rounds of pivots find, ``most`` of them if given, and the members of the bands that stay open."""
     links, turn, left = [], 0, members
     while True:
         rows = left.select("row").distinct().count()
@@ -537,9 +605,9 @@ def _rounds(members: DataFrame, sets: DataFrame, similarity: float):
             names = left.select("row", "component").distinct()
             between = new.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b")
             left = _open(left, between.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        if found < max(WORTHWHILE * rows, FEW):
-            return links, left
         turn += 1
+        if turn == most or found < max(WORTHWHILE * rows, FEW):
+            return links, left
 
 
 def near_copy_links(
@@ -557,8 +625,14 @@ def near_copy_links(
     last = [_sided(small, shapes, similarity)]
     large = left.where(F.col("size") > paired)
     if not large.isEmpty():
-        more, rest = _rounds(_prefix_members(large, sets, similarity), sets, similarity)
+        differences = _differences(large, sets)
+        more, large = _rounds(differences.drop("shingles"), sets, similarity, 1)
         links += more
+        rest = _prefix_members(large, differences, similarity)
+        # Bands of so few rows on average make pairs in proportion to their rows.
+        if (rest.agg(F.avg("size")).first()[0] or 0) > paired:
+            more, rest = _rounds(rest, sets, similarity)
+            links += more
         last.append(_sided(rest, shapes, similarity))
     links.append(stored(_similar(_ordered(functools.reduce(DataFrame.unionAll, last)), sets, similarity), "similar"))
     return functools.reduce(DataFrame.unionAll, links)
