@@ -7,11 +7,11 @@ from answerloom.llm.components import connected_components
 
 
 def copies(rng, count, size=200):
-    """Sets that are one set with some shingles replaced, mostly by ones that no other set has."""
-    base = rng.integers(1, 1 << 62, size)
+    """Sets that are one set with some shingles replaced by ones that a few other sets have."""
+    base, pool = rng.integers(1, 1 << 62, size), rng.integers(1, 1 << 62, 2000)
     for _ in range(count):
         gone = int(rng.integers(2, 18)) if rng.random() < 0.8 else int(rng.integers(24, 50))
-        yield np.concatenate([rng.permutation(base)[gone:], rng.integers(1, 1 << 62, gone)])
+        yield np.concatenate([rng.permutation(base)[gone:], rng.permutation(pool)[:gone]])
 
 
 def generations(rng, count, size=120):
