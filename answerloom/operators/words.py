@@ -24,7 +24,8 @@ _BITS = 22
 
 def _characters(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The code points of all strings in a row, and how many each has."""
-    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(strings)], pa.int32()), strings), "")
+    together = pa.ListArray.from_arrays(pa.array([0, len(strings)], pa.int32()), strings)
+    whole = pc.binary_join(together, pa.scalar("", strings.type))
     line = np.frombuffer(whole[0].as_py().encode("utf-32-le"), dtype="<u4")
     return line, pc.utf8_length(strings).to_numpy(zero_copy_only=False).astype(np.int64)
 
